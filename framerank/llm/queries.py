@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framerank.llm import forest, mixing, neardup, orctokens, packing, prefixhash, rendezvous
+from framerank.llm import forest, mixing, neardup, orctokens, packing, prefixhash, rendezvous, sanitize, secretlinks, tagpaths
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.find(_table(spark, sf_dir, "documents"))
+
+
+def op2_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -43,12 +51,16 @@ def op8_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orctokens.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretlinks.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"), width=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_isolation_forest, op4_rendezvous, op5_mixing, op6_packing, op7_fingerprints, op8_orc_tokens, op10_minhash)}
+    return {f.__name__: f for f in (op1_disclosure, op2_tag_paths, op3_isolation_forest, op4_rendezvous, op5_mixing, op6_packing, op7_fingerprints, op8_orc_tokens, op9_credential_links, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -265,7 +265,7 @@ def replaced(text: str, spans: list[Span]) -> str:
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with their columns, spans replaced in ``text`` and ``n_chars`` (where there is one) counted anew."""
     terms = disclosing(docs, cut(_scan(docs), "spans"))
-    rows = docs
+    rows, names = docs, docs.columns
     if terms is not None:
         key = F.xxhash64(F.coalesce("text", F.lit("")))
         added = term_spans(docs, terms).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), "terms")
@@ -279,7 +279,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 text = text.as_py()
                 spans = base_spans(text or "") + [(s["start"], s["kind"], s["end"]) for s in more or []]
                 texts.append(replaced(text, spans) if spans else text)
-            out = {n: batch.column(n) for n in docs.columns}
+            out = {n: batch.column(n) for n in names}
             out["text"] = pa.array(texts, batch.column("text").type)
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t or "") for t in texts], out["n_chars"].type)

@@ -20,7 +20,7 @@ from functools import lru_cache
 
 
 #: Chunks that a worker keeps at most.
-CACHE = 400_000
+CACHE = 300_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
 
@@ -62,6 +62,7 @@ class Chunks(dict):
         self.kept = self.tokenizer.normalizer is None
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
+        self.signs: dict[str, bytes] = {}  # what follows words; short, so few
 
     def _ids(self, chunk: str) -> bytes:
         """One chunk, its blank included, without the cache."""
@@ -79,7 +80,12 @@ class Chunks(dict):
         base = chunk.rstrip(SIGNS)
         if base != chunk and ENDS_PLAIN(base):
             known = base in self
-            packed = self[base] + self._ids(chunk[len(base) :])
+            signs = chunk[len(base) :]
+            if (after := self.signs.get(signs)) is None:
+                after = self._ids(signs)
+                if len(signs) <= 3:
+                    self.signs[signs] = after
+            packed = self[base] + after
             if not known:  # a rare word with a sign isn't kept
                 return packed
         elif SPACE_IN(chunk) or not chunk:

@@ -3,7 +3,7 @@
 Encoding text by text spends most of its time on words that it has encoded before. A text is therefore cut where
 the tokenizer's own pre-tokenizer always cuts, and the ids of each distinct chunk are encoded once per Python worker
 and kept as packed 32-bit ids, so that a text's ids are one join of byte strings. The memory is
-bounded: it is emptied when it holds ``CACHE`` chunks.
+bounded by two generations of ``GENERATION`` chunks.
 
 Both vocabularies that are supported here are byte-level BPE, with or without white space in their pre-tokens:
 
@@ -19,20 +19,20 @@ from array import array
 from functools import lru_cache
 
 
-#: Chunks that a worker keeps at most.
-CACHE = 300_000
+#: Chunks of each of the two generations that a worker keeps.
+GENERATION = 200_000
 #: Longer chunks are encoded each time.
 LONGEST = 48
 
 # The white space of the pre-tokenizers' \s (Unicode White_Space).
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-KEPT = re.compile(f"[{SPACES}]+(?![^{SPACES}])| ?[^{SPACES}]+|[{SPACES}]+")
-DROPPED = re.compile(r"[^ \t\n\r]+")
+KEPT = re.compile(f"[{SPACES}]+(?![^{SPACES}])| ?[^{SPACES}]+|[{SPACES}]+").findall
+DROPPED = re.compile(r"[^ \t\n\r]+").findall
 #: Letters that no normalizer composes with what stands before them, with plain lower cases.
-PLAIN = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Signs at a word's end that are pre-tokens of their own; the apostrophe, which starts contractions, is none.
 SIGNS = ".,;:!?#%$&*|()[]{}<>/=+@_-\""
-ENDS_PLAIN = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]$").search
+PLAIN_ENDS = frozenset(chr(c) for c in (*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
 SPACE_IN = re.compile(f"[{SPACES}]").search
 #: A blank beside other white space or at an end: cuts at blanks alone would be wrong.
 ODD = re.compile(f"[{SPACES}] | [{SPACES}]|^ | $").search
@@ -49,7 +49,8 @@ def _byte_letters() -> dict[int, str]:
 class Chunks(dict):
     """Chunk to packed ids; what is missing gets encoded.
 
-    Keys are what lies between two blanks. Where white space is kept, their ids include the blank before them.
+    Keys are what lies between two blanks. Where white space is kept, their ids include the blank before them. What
+    is full becomes the older generation, and the one before it goes; what is found there moves up.
     """
 
     def __init__(self, path: str):
@@ -61,39 +62,52 @@ class Chunks(dict):
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.kept = self.tokenizer.normalizer is None
         self.letters = _byte_letters()
-        self.model = self.tokenizer.model
-        self.signs: dict[str, bytes] = {}  # what follows words; short, so few
-
-    def _ids(self, chunk: str) -> bytes:
-        """One chunk, its blank included, without the cache."""
-        if m := PLAIN.fullmatch(chunk):
-            word = chunk if self.kept else m[2].lower()
-            word = word.encode().decode("latin-1").translate(self.letters)
-            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self.words = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # short chunks without a blank before them: signs, line ends, first words
+
+    def _word(self, word: str) -> bytes:
+        """A plain word, with its blank if it has one."""
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.words(mapped)]).tobytes()
+
+    def _bare(self, chunk: str) -> bytes:
+        """A chunk as it is, without a blank before it."""
+        if (packed := self.bare.get(chunk)) is None:
+            if PLAIN(chunk):
+                packed = self._word(chunk if self.kept else chunk.lower())
+            else:
+                packed = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            if len(chunk) <= 8:
+                if len(self.bare) >= 50_000:
+                    self.bare.clear()
+                self.bare[chunk] = packed
+        return packed
 
     def _whole(self, text: str) -> bytes:
         """Any text, cut by its white space."""
-        return b"".join(map(self._ids, (KEPT if self.kept else DROPPED).findall(text)))
+        if not self.kept:
+            return b"".join(map(self._bare, DROPPED(text)))
+        return b"".join([self[c[1:]] if c[0] == " " and len(c) > 1 and not SPACE_IN(c[1:]) else self._bare(c) for c in KEPT(text)])
 
     def __missing__(self, chunk: str) -> bytes:
-        base = chunk.rstrip(SIGNS)
-        if base != chunk and ENDS_PLAIN(base):
-            known = base in self
-            signs = chunk[len(base) :]
-            if (after := self.signs.get(signs)) is None:
-                after = self._ids(signs)
-                if len(signs) <= 3:
-                    self.signs[signs] = after
-            packed = self[base] + after
-            if not known:  # a rare word with a sign isn't kept
-                return packed
-        elif SPACE_IN(chunk) or not chunk:
-            return self._whole(" " + chunk if self.kept else chunk)
-        else:
-            packed = self._ids(" " + chunk if self.kept else chunk)
+        if (packed := self.older.get(chunk)) is None:
+            if PLAIN(chunk):
+                packed = self._word(" " + chunk if self.kept else chunk.lower())
+            else:
+                base = chunk.rstrip(SIGNS)
+                if base and base[-1] in PLAIN_ENDS and base != chunk:
+                    known = base in self
+                    packed = self[base] + self._bare(chunk[len(base) :])
+                    if not known:  # a rare word with a sign isn't kept
+                        return packed
+                elif not chunk or SPACE_IN(chunk):
+                    return self._whole(" " + chunk if self.kept else chunk)
+                else:
+                    packed = array("I", self.tokenizer.encode(" " + chunk if self.kept else chunk, add_special_tokens=False).ids).tobytes()
         if len(chunk) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= GENERATION:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed

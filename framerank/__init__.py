@@ -1,0 +1 @@
+"""Scoring, classifying, de-duplicating and ranking photo collections with Spark DataFrames."""

@@ -54,8 +54,8 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
     An even share ``floor(count * budget / total)`` of each length comes first. What is left to fill is brought below a
     small multiple of the largest length by taking one more here and there, longest first; the dynamic programme then
-    finds an exact filling, undoing up to one document of each length if it needs to. Without an exact sum the
-    largest one below the budget is taken.
+    fills that, with up to one document given back of each of the shortest lengths, exactly or else as nearly from
+    below as those lengths allow.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())

@@ -5,9 +5,10 @@ Base spans follow four patterns. The values that they find are the protected ent
 for a term that is never seen without the value and falls with every place where it is. A term that reaches
 ``THRESHOLD`` over at least ``SUPPORT`` places is disclosing, and all its occurrences are spans (``term``).
 
-Evidence is counted by place, not by document: a place of a term is the hash of the two words before it, itself and the two
-after it, base spans blanked. Copies of a document repeat its places and prove nothing by their number, so the terms of a
-text that was merely copied aren't taken for revealing.
+Evidence is counted by place, not by document: a place is the hash of the two words before and the two after a term or a
+value, base spans left out. Copies of a document repeat its places and prove nothing by their number, so the terms of a
+text that was merely copied aren't taken for revealing; a term and a value are seen together as often as both are in
+different places.
 
 Counts cover all documents. Terms near values are few; only those that have the support are counted over the
 corpus, where a fixed-size Bloom filter lets nearly nothing else into the shuffle, and an exact join follows.
@@ -91,8 +92,8 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def evidence(text: str, spans: list[Span]) -> list[tuple[str, str, int]]:
-    """Value, term and the term's place, for the terms near base spans."""
+def evidence(text: str, spans: list[Span]) -> list[tuple[str, int, str, int]]:
+    """Value and its place, term and its place, for the terms near base spans."""
     found = []
     for start, kind, end in spans:
         value = f"{KINDS[kind]}:{text[start:end].lower()}"
@@ -101,9 +102,11 @@ def evidence(text: str, spans: list[Span]) -> list[tuple[str, str, int]]:
         before, after = list(TERM.finditer(text, lo, start))[-REACH - 2 :], list(TERM.finditer(text, end, hi))[: REACH + 2]
         line = [m for m in (*before, *after) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
         words = [m[0].lower() for m in line]
+        n = sum(m.end() <= start for m in line)
+        at = _hash(*words[max(0, n - 2) : n + 2])
         for i, w in enumerate(words):
             if len(w) > 2:
-                found.append((value, w, _hash(*words[max(0, i - 2) : i + 3])))
+                found.append((value, at, w, _hash(*words[max(0, i - 2) : i + 3])))
     return found
 
 
@@ -112,24 +115,24 @@ def _scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-        clue = pa.struct([("value", pa.string()), ("term", pa.string()), ("place", pa.int64())])
+        clue = pa.struct([("value", pa.string()), ("at", pa.int64()), ("term", pa.string()), ("place", pa.int64())])
         for batch in batches:
             base, near = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-                near.append([{"value": v, "term": t, "place": p} for v, t, p in evidence(text, spans)] if spans else [])
+                near.append([dict(zip(("value", "at", "term", "place"), e, strict=True)) for e in evidence(text, spans)] if spans else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(base, pa.list_(kind)), pa.array(near, pa.list_(clue))], ["doc_id", "h", "base", "near"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, term: string, place: long>>")
+    return rows.mapInArrow(run, "doc_id long, h long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, at: long, term: string, place: long>>")
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """``term``s that disclose a value; ``None`` if no term has the support."""
     clues = scanned.select(F.explode("near").alias("c")).select("c.*").distinct()
-    joint = clues.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_vt")).where(F.col("n_vt") >= support)
+    joint = clues.groupBy("value", "term").agg(F.least(F.countDistinct("place"), F.countDistinct("at")).alias("n_vt")).where(F.col("n_vt") >= support)
     joint = cut(joint, "joint")
     bits = bloom(joint)
     if bits is None:
@@ -146,7 +149,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, thre
 
     seen = docs.select("text").mapInArrow(run, "term string, place long").distinct()
     n_t = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_v = clues.join(joint.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.countDistinct("place").alias("n_v"))
+    n_v = clues.join(joint.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.countDistinct("at").alias("n_v"))
     n = F.lit(float(max(2, docs.count())))
     pmi = F.log2(F.col("n_vt") * n / (F.col("n_t") * F.col("n_v")))
     ratio = pmi / F.greatest(F.log2(n / F.col("n_v")), F.lit(1e-9))

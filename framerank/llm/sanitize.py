@@ -10,8 +10,10 @@ value, base spans left out. Copies of a document repeat its places and prove not
 text that was merely copied aren't taken for revealing; a term and a value are seen together as often as both are in
 different places.
 
-Counts cover all documents. Terms near values are few; only those that have the support are counted over the
-corpus, where a fixed-size Bloom filter lets nearly nothing else into the shuffle, and an exact join follows.
+Counts cover all documents. The threshold is a most number of places for a term (its limit); a term that has more of them
+near values alone is none. The others are few and are counted over the corpus, where a table of fixed size, limits by
+the terms' hashes, lets nearly nothing else into the shuffle, and a task that has found a term in more places than its limit
+says so once. An exact join follows.
 
 Nulls: a null text is empty and has no spans. Repeated rows have the same spans each and count as one place. An empty
 table gives an empty table.
@@ -34,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 REACH = 8
 SUPPORT = 3
 THRESHOLD = 0.9
-#: Bits of the Bloom filter: its size doesn't depend on the corpus.
-BLOOM_BITS = 1 << 23
+#: Bytes of the table of limits: its size doesn't depend on the corpus.
+SLOTS = 1 << 21
 
 #: The pattern of an e-mail address from its @ on, and the letters before it.
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -130,43 +132,55 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
-    """``term``s that disclose a value; ``None`` if no term has the support."""
-    clues = scanned.select(F.explode("near").alias("c")).select("c.*").distinct()
+    """``term``s that disclose a value; ``None`` if no term has the support.
+
+    ``PMI / IC >= threshold`` is ``n_t <= n_vt * (n / n_v) ** (1 - threshold)`` with the places of the term, of both together
+    and of the value.
+    """
+    n = float(max(2, docs.count()))
+    clues = cut(scanned.select(F.explode("near").alias("c")).select("c.*").distinct(), "clues")
     joint = clues.groupBy("value", "term").agg(F.least(F.countDistinct("place"), F.countDistinct("at")).alias("n_vt")).where(F.col("n_vt") >= support)
-    joint = cut(joint, "joint")
-    bits = bloom(joint)
-    if bits is None:
+    n_v = clues.select("value", "at").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_v"))
+    near = clues.select("term", "place").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    limit = F.col("n_vt") * F.pow(F.greatest(F.lit(n) / F.col("n_v"), F.lit(1.0)), F.lit(1.0 - threshold))
+    limits = joint.join(n_v, "value").withColumn("limit", limit).groupBy("term").agg(F.max("limit").alias("limit"))
+    limits = cut(limits.join(near, "term").where("n_near <= limit").select("term", "limit"), "limits")
+    table = limit_table(limits)
+    if table is None:
         return None
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, set[int] | None] = {}  # a term's places in this task; None once they are too many
         for batch in batches:
             terms, places = [], []
             for text in batch.column("text"):
-                for t, _, _, place in occurrences(text.as_py() or "", shared.value):
-                    terms.append(t), places.append(place)
+                for t, _, _, place, most in occurrences(text.as_py() or "", shared.value):
+                    found = known.setdefault(t, set())
+                    if found is not None and place not in found:
+                        found.add(place)
+                        if len(found) > most:
+                            known[t], place = None, None
+                        terms.append(t), places.append(place)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.int64())], ["term", "place"])
 
     seen = docs.select("text").mapInArrow(run, "term string, place long").distinct()
-    n_t = seen.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n_v = clues.join(joint.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.countDistinct("at").alias("n_v"))
-    n = F.lit(float(max(2, docs.count())))
-    pmi = F.log2(F.col("n_vt") * n / (F.col("n_t") * F.col("n_v")))
-    ratio = pmi / F.greatest(F.log2(n / F.col("n_v")), F.lit(1e-9))
-    found = joint.join(n_t, "term").join(n_v, "value").where(ratio >= threshold).select("term").distinct()
-    return cut(found, "terms")
-
-
-def bloom(terms: DataFrame) -> np.ndarray | None:
-    """A bit set of the terms' hashes, of fixed size; ``None`` without terms."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(BLOOM_BITS)).cast("int")
-    rows = terms.select(slot.alias("slot")).distinct().groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits")).collect()  # at most BLOOM_BITS / 64 rows
+    n_t = seen.groupBy("term").agg(F.count("place").alias("n_t"), F.count_if(F.col("place").isNull()).alias("over"))
+    return cut(limits.join(n_t, "term").where("over = 0 and n_t <= limit").select("term"), "terms")
+
+
+def limit_table(limits: DataFrame) -> bytes | None:
+    """By slot, the power of two that no limit of its terms exceeds, plus one; 0 without terms. ``None`` without any."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
+    level = F.least(F.ceil(F.log2(F.greatest("limit", F.lit(1.0)))) + 1, F.lit(63)).cast("long")
+    levels = limits.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
+    rows = levels.groupBy((F.col("slot") / 8).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(level, slot % 8 * 8)")).alias("eight")).collect()  # at most SLOTS / 8 rows
     if not rows:
         return None
-    out = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+    out = np.zeros(SLOTS // 8, dtype="<u8")
     for r in rows:
-        out[r["at"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    return out
+        out[r["at"]] = r["eight"] & 0xFFFFFFFFFFFFFFFF
+    return out.tobytes()
 
 
 _SLOTS: dict[str, int] = {}
@@ -179,19 +193,18 @@ def _slot(term: str) -> int:
 
         if len(_SLOTS) >= 500_000:
             _SLOTS.clear()
-        found = _SLOTS[term] = xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42) % BLOOM_BITS
+        found = _SLOTS[term] = xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42) % SLOTS
     return found
 
 
-def occurrences(text: str, bits: np.ndarray) -> Iterator[tuple[str, int, int, int]]:
-    """Term, start, end and place of the terms that pass the filter."""
+def occurrences(text: str, table: bytes) -> Iterator[tuple[str, int, int, int, int]]:
+    """Term, start, end, place and the bound on the limit, of the terms that the table lets through."""
     found = list(LINE_OR_TERM.finditer(text))
     words = [m[0].lower() for m in found]
     spans: list[Span] | None = None
     for i, w in enumerate(words):
         if len(w) > 2:
-            s = _slot(w)
-            if int(bits[s >> 6]) >> (s & 63) & 1:
+            if level := table[_slot(w)]:
                 if spans is None:
                     spans = base_spans(text)
                 lo, hi = found[i].span()
@@ -205,21 +218,21 @@ def occurrences(text: str, bits: np.ndarray) -> Iterator[tuple[str, int, int, in
                             side.append(words[k])
                         k += step
                     around.append(side)
-                yield w, lo, hi, _hash(*reversed(around[0]), w, *around[1])
+                yield w, lo, hi, _hash(*reversed(around[0]), w, *around[1]), 1 << (level - 1)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id, h, terms``: the spans of disclosing terms, for the documents that have some."""
-    bits = bloom(terms)
-    if bits is None:
+    table = limit_table(terms.withColumn("limit", F.lit(1.0)))
+    if table is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, h long, terms array<struct<start: int, kind: int, end: int>>")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
-                out += [(doc_id, h, t, a, b) for t, a, b, _ in occurrences(text or "", shared.value)]
+                out += [(doc_id, h, t, a, b) for t, a, b, _, _ in occurrences(text or "", shared.value)]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "h", "term", "start", "end"])
 

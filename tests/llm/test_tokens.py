@@ -48,7 +48,7 @@ def test_plan_uses_all_and_is_near_the_bound(seed):
             used[x] = used.get(x, 0) + times * m
     assert used == counts and len(made) <= 3 * 256
     if seed % 2:
-        assert sum(t for t, _ in made) <= 1.01 * lengths.sum() / 256 + 1
+        assert sum(t for t, _ in made) <= 1.015 * lengths.sum() / 256 + 1
 
 
 def test_orc_round_trip(spark, docs, empty, byte_bpe):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framerank.schema import CULL_THRESHOLD, IMAGE_EXTENSIONS, RAW_EXTENSIONS, REGION_FRACTIONS, WEIGHTS
+from framerank.schema import REJECT_THRESHOLD, IMAGE_EXTENSIONS, RAW_EXTENSIONS, REGION_FRACTIONS, WEIGHTS
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -58,7 +58,7 @@ def overall_score(factors: dict[str, Column], weights: dict[str, float] | None =
     return F.when(total <= 0, F.lit(0.0)).otherwise(summed / total)
 
 
-def is_disqualified(score: Column, manual: Column, threshold: float = CULL_THRESHOLD) -> Column:
+def is_disqualified(score: Column, manual: Column, threshold: float = REJECT_THRESHOLD) -> Column:
     """The manual mark if there is one, else whether the score is at the threshold or below."""
     return F.coalesce(manual, score <= F.lit(float(threshold)))
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framerank.schema import CULL_THRESHOLD
+from framerank.schema import REJECT_THRESHOLD
 
 
-def mark(catalog: DataFrame, selection: DataFrame, disqualified: bool, threshold: float = CULL_THRESHOLD) -> DataFrame:
+def mark(catalog: DataFrame, selection: DataFrame, disqualified: bool, threshold: float = REJECT_THRESHOLD) -> DataFrame:
     """Marks the selected rows; a mark that says what the threshold says is none."""
     chosen = selection.select(F.col("path").alias("__p")).distinct()
     auto = F.col("score") <= F.lit(float(threshold))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framerank.functions.scores import is_disqualified, normalize_sharpness, overall_score
 from framerank.operators.dedupe import best_of_group, labelled
-from framerank.schema import CULL_THRESHOLD, HASH_DISTANCE, TOP_N, WEIGHTS, checked
+from framerank.schema import REJECT_THRESHOLD, HASH_DISTANCE, TOP_N, WEIGHTS, checked
 
 
 def factors() -> dict[str, Column]:
@@ -19,11 +19,11 @@ def with_overall(catalog: DataFrame, weights: dict[str, float] | None = None) ->
     return catalog.withColumn("overall", overall_score(factors(), weights))
 
 
-def survivors(catalog: DataFrame, threshold: float = CULL_THRESHOLD) -> DataFrame:
+def survivors(catalog: DataFrame, threshold: float = REJECT_THRESHOLD) -> DataFrame:
     return catalog.where(~is_disqualified(F.col("score"), F.col("manual_dq"), threshold))
 
 
-def keepers(catalog: DataFrame, threshold: float = CULL_THRESHOLD, distance: int = HASH_DISTANCE, weights: dict[str, float] | None = None) -> DataFrame:
+def keepers(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, distance: int = HASH_DISTANCE, weights: dict[str, float] | None = None) -> DataFrame:
     """The best survivor of each group and the survivors without one. Groups are over survivors alone."""
     return best_of_group(labelled(with_overall(survivors(catalog, threshold), weights), distance))
 
@@ -35,12 +35,12 @@ def top_n(rows: DataFrame, n: int = TOP_N) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("overall").desc(), "path")))
 
 
-def rank(catalog: DataFrame, threshold: float = CULL_THRESHOLD, distance: int = HASH_DISTANCE, n: int = TOP_N, weights: dict[str, float] | None = None) -> DataFrame:
+def rank(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, distance: int = HASH_DISTANCE, n: int = TOP_N, weights: dict[str, float] | None = None) -> DataFrame:
     checked(threshold=threshold, distance=distance, top_n=n, weights=weights)
     return top_n(keepers(catalog, threshold, distance, weights), n)
 
 
-def funnel_counts(catalog: DataFrame, threshold: float = CULL_THRESHOLD, distance: int = HASH_DISTANCE, n: int = TOP_N) -> DataFrame:
+def funnel_counts(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, distance: int = HASH_DISTANCE, n: int = TOP_N) -> DataFrame:
     """One row: ``total, after_technical, after_dedupe, shortlist``."""
     dq = is_disqualified(F.col("score"), F.col("manual_dq"), threshold)
     first = catalog.agg(F.count(F.lit(1)).alias("total"), F.count_if(~dq).alias("after_technical"))

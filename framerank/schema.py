@@ -17,7 +17,7 @@ WEIGHTS = {"sharpness": 0.25, "exposure": 0.15, "contrast": 0.10, "color": 0.10,
 # The share of width and height that is scored, by mode.
 REGION_FRACTIONS = {"Landscape": 1.0, "Portrait": 0.45, "Object": 0.6, "Animal": 0.6}
 
-CULL_THRESHOLD, HASH_DISTANCE, TOP_N = 32.0, 6, 150
+REJECT_THRESHOLD, HASH_DISTANCE, TOP_N = 32.0, 6, 150
 SCORE_BOX, THUMB_BOX, HOVER_BOX, VIEW_BOX = 1600, 220, 1200, 2400
 
 SCAN_SCHEMA = (

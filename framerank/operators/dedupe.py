@@ -37,7 +37,7 @@ def band(hash: Column, i: int, bands: int) -> Column:
 def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
     """``a, b, distance`` with ``a < b`` over distinct values of ``phash``."""
     checked(distance=distance)
-    one = hashes.select("phash").where("phash is not null").distinct()
+    one = cut(hashes.select("phash").where("phash is not null").distinct())  # both sides of the join read it
     bands = distance + 1
     if 64 // bands < LEAST_BITS:
         both = one.withColumnRenamed("phash", "a").join(one.withColumnRenamed("phash", "b"), F.col("a") < F.col("b"))

@@ -5,9 +5,9 @@ tags from the root to it. Over all blocks of a path, text length, punctuation an
 divided by the number of blocks; in page order these ratios are smoothed with a Gaussian window, so a short block among
 long ones keeps its place, and fused into one value: length times punctuation, less what is linked. Paths that pass
 a share of the values' spread are content. The content region is what the page marks as its article or main
-part if content lies there, else the smallest element that holds most of the content's text; all of its blocks
-belong to the article but those below elements that mark themselves as something else (menus, headers, footers, asides,
-forms, adverts, notices, comments).
+part if content lies there, else the smallest element that holds most of the content's text and isn't one of several
+content blocks by itself. The article is all blocks of the region and all content blocks outside it, but none below
+elements that mark themselves as something else (menus, headers, footers, asides, forms, adverts, notices, comments).
 
 Each page is read by itself in one pass of a tokenizer, in time linear in its length.
 
@@ -220,7 +220,7 @@ def main_text(page: str | None) -> str:
         return ""
     regions = _articles(chosen) or [_holder(chosen)]
     ids = {id(r) for r in regions}
-    return "\n".join(b.text for b in blocks if not b.element.apart and _within(b.element, ids))
+    return "\n".join(b.text for b in blocks if not b.element.apart and (_key(b) in content or _within(b.element, ids)))
 
 
 def _articles(chosen: list[Block]) -> list[Element]:
@@ -231,15 +231,16 @@ def _articles(chosen: list[Block]) -> list[Element]:
 
 
 def _holder(chosen: list[Block]) -> Element:
-    """The deepest element that holds at least 85 of 100 code points of the content."""
-    mass: dict[int, tuple[Element, int]] = {}
+    """The deepest element that holds at least 85 of 100 code points of the content, and more than one of its blocks if there are more."""
+    mass: dict[int, tuple[Element, int, int]] = {}
     for b in chosen:
         e = b.element
         while e is not None:
-            mass[id(e)] = (e, mass.get(id(e), (e, 0))[1] + len(b.text))
+            _, chars, n = mass.get(id(e), (e, 0, 0))
+            mass[id(e)] = (e, chars + len(b.text), n + 1)
             e = e.parent
-    total = sum(len(b.text) for b in chosen)
-    return max((e for e, m in mass.values() if 100 * m >= 85 * total), key=lambda e: e.depth)
+    total, least = sum(len(b.text) for b in chosen), min(2, len(chosen))
+    return max((e for e, m, n in mass.values() if 100 * m >= 85 * total and n >= least), key=lambda e: e.depth)
 
 
 def _within(element: Element | None, ids: set[int]) -> bool:

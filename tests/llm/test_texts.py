@@ -104,6 +104,18 @@ def test_main_text():
     tagpaths.main_text("<div>" * 20_000 + "x" + "<p>" * 20_000 + "<a " * 20_000 + "<" * 20_000)
 
 
+def test_all_content_blocks_are_kept():
+    long, short = "A sentence, as long as it is. " * 66, "And a short one, with a comma in it. " * 3
+    paragraphs = f"<p>{long}</p><h2>Between</h2><p>{short}</p><p>{short}</p>"
+    want = [long.strip(), "Between", short.strip(), short.strip()]
+    assert tagpaths.main_text(f"<div>{paragraphs}</div>").split("\n") == want
+    assert tagpaths.main_text(f"<nav>Menu</nav><div>{paragraphs}</div>").split("\n") == want
+    # a third of the content lies in an article, the rest beside it
+    parts = [f"Paragraph {i}, and more of it. " * 20 for i in range(6)]
+    page = "<article>" + "".join(f"<p>{p}</p>" for p in parts[:2]) + "</article><div>" + "".join(f"<p>{p}</p>" for p in parts[2:]) + "</div><nav>Menu</nav>"
+    assert tagpaths.main_text(page).split("\n") == [p.strip() for p in parts]
+
+
 def test_pages_with_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "<p>Hello, there. Yes.", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in tagpaths.extract(rows).collect()) == [(1, "", 0), (2, "", 0), (2, "Hello, there. Yes.", 18)]

@@ -36,7 +36,10 @@ WORD = re.compile(r"[a-z]+|[0-9]+")
 STOPS = re.compile(r"[.,;:!?…。，、；：！？]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select option".split())
+#: Elements whose contents aren't read. Those of TEXT hold no tags: without an end tag they go on to the page's end.
+RAW = frozenset("script style noscript template textarea title iframe object svg math canvas video audio select datalist".split())
+TEXT = frozenset("script style textarea title iframe".split())
+END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 BLOCKS = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table caption colgroup tbody td tfoot th thead tr ul head".split()
 )
@@ -86,7 +89,8 @@ class Reader:
 
     def read(self, page: str) -> list[Block]:
         root = Element("", 0, False, None, 0)
-        stack, parts, linked, in_link, skip = [root], [], 0, 0, None
+        stack, parts, linked, in_link, at = [root], [], 0, 0, 0
+        endless: set[str] = set()  # elements that no end tag follows from here on
         open_count: dict[str, int] = {}
         paths: dict[tuple[int, str], int] = {}  # a path is known by its parent's number and its tag
 
@@ -114,25 +118,27 @@ class Reader:
                 open_count[e.tag] -= 1
                 in_link -= e.tag == "a"
 
-        for m in TOKEN.finditer(page):
-            end, tag, rest = m[1], m[2], m[3]
+        while at < len(page):
+            m = TOKEN.match(page, at)
+            at, end, tag, rest = m.end(), m[1], m[2], m[3]
             if tag is None:
-                if skip is None and m[0][:2] not in ("<!", "<?"):
+                if m[0][:2] not in ("<!", "<?"):
                     parts.append(m[0])
                     linked += len(m[0]) if in_link else 0
                 continue
             tag = tag.lower()
-            if skip is not None:
-                if end and tag == skip:
-                    skip = None
-                continue
             if end:
                 if open_count.get(tag):
                     close(last_open(tag))
                 continue
             if tag in RAW:
-                if not rest.rstrip().endswith("/"):
-                    skip = tag
+                if not rest.rstrip().endswith("/") and tag not in endless:
+                    if after := END[tag].search(page, at):
+                        at = after.start()
+                    elif tag in TEXT:
+                        at = len(page)
+                    else:
+                        endless.add(tag)
                 parts.append(" ")
                 continue
             if tag in VOID:

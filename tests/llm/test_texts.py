@@ -116,6 +116,17 @@ def test_all_content_blocks_are_kept():
     assert tagpaths.main_text(page).split("\n") == [p.strip() for p in parts]
 
 
+def test_scripts_end_at_their_end_tags():
+    text = "The article, whole as it is. And its end."
+    for junk in (
+        "<script>for(i=0;i<n;i++)f(i);</script>", "<SCRIPT>a<b</Script >", "<style>a<b{}</style>", "<script>if(a<b)s='</scripts>'</script>", "<title>a <b c</title>", "<textarea>x <y</textarea>",
+        "<datalist><option value=a><option value=b></datalist>", "<select><option>One<option>Two</select>", "<option value=a>", "<video src=v>", "<svg><style>a<b{}</style><path d=x /></svg>",
+    ):
+        assert tagpaths.main_text(f"{junk}<p>{text}</p>") == text, junk
+    assert tagpaths.main_text(f"<p>{text}</p><script>never ended <p>Not, this.</p>") == text
+    tagpaths.main_text("<video>" * 200_000 + "<script>" * 200_000)
+
+
 def test_pages_with_nulls_and_extra_columns(spark):
     rows = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "<p>Hello, there. Yes.", "z")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in tagpaths.extract(rows).collect()) == [(1, "", 0), (2, "", 0), (2, "Hello, there. Yes.", 18)]

@@ -29,11 +29,11 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 LEAST_ASSIGNED = 8
 
-#: Weak parts: what names itself an identifier, a secret or an endpoint, tokens of mixed letters and digits, and addresses.
+#: Weak parts: what names itself an identifier, a secret or an endpoint, tokens of 24 and more mixed letters and digits, and addresses.
 ID = r"""(?i)(?<![A-Za-z0-9])(access_?key_?id|client_?id|app_?id|account|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}"""
 SECRET = (
     r"""(?i)(?<![A-Za-z0-9])(secret_?(access_?)?key|client_?secret|private_?key|credential|auth|pwd|pass)["']?\x20*[:=]\x20*["']?[^\s"',;]{6,}"""
-    r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,63}[0-9])(?=[A-Z0-9+/_-]{0,63}(?-i:[a-z]))(?=[a-z0-9+/_-]{0,63}(?-i:[A-Z]))[A-Za-z0-9+/_-]{24,64}(?![A-Za-z0-9+/_-])"""
+    r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=(?-i:[A-Z0-9+/_-]*+[a-z]))(?=(?-i:[a-z0-9+/_-]*+[A-Z]))[A-Za-z0-9+/_-]{24,}+"""
 )
 ENDPOINT = r"""(?i)(?<![A-Za-z0-9])[a-z][a-z0-9+]{1,15}://[^\s"'<>]{3,}|(?i)(?<![A-Za-z0-9])(host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63}){1,8}(:[0-9]{2,5})?"""
 

@@ -88,6 +88,19 @@ def test_secret_spans_match_and_parts_are_linked(spark):
     assert [linked[i] for i in range(len(cases))] == [0, 2, 0, 0, 2, 0, 1]
 
 
+def test_secret_tokens_of_any_length(spark):
+    rng = random.Random(4)
+    signs = "abcXYZ019+/_-"
+    tokens = ["aB3" + "".join(rng.choice(signs) for _ in range(n - 3)) for n in (23, 24, 25, 63, 64, 65, 86, 93, 400, 100_000)]
+    tokens += ["x" * 90 + "B3", "B" * 90 + "a3", "3-" * 45 + "xB", "x3" * 40, "B3" * 40, "aB" * 40, "-" * 70 + "aB3"]
+    texts = [f"account: shop {t} end" for t in tokens] + [f"host: db.example.org {tokens[6]}=="]
+    got = {r.doc_id: r.spans for r in secretlinks.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(tokens):
+        mixed = len(t) >= 24 and all(re.search(p, t) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        assert got[i] == (f"id:0:13,secret:14:{14 + len(t)}" if mixed else ""), t[:40]
+    assert got[len(tokens)] == f"endpoint:0:20,secret:21:{21 + 86}"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><div class="cookie-notice">We use cookies, as you know. Accept them, please.</div>
 %s<aside>Related, and more. So much more.</aside><form><label>Mail, please.</label><input name=q></form><section id=comments><p>Nice one, I say. Really.</p></section>

@@ -252,3 +252,13 @@ def test_classes_of_awkward_documents(docs, empty):
     kept = neardup.keep_one(docs).collect()
     assert len({r.doc_id for r in kept}) == len(kept) and neardup.keep_one(docs).columns == docs.columns
     assert neardup.classes(empty, 2).count() == 0
+
+
+def test_one_row_of_each_class_is_kept_whatever_its_id(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(10_000)}" for _ in range(60)) for x in "abcde")
+    near = a + " and more"  # a near copy of document 1, under the id of a text of its own
+    rows = [(1, a), (2, near), (2, b), (None, c), (None, c), (None, d), (None, e), (3, e), (4, ""), (4, " "), (None, None), (2, b.upper())]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = collections.Counter((r.doc_id, r.text if r.text is None else r.text.lower()) for r in kept)
+    assert got == collections.Counter([(1, a), (2, b), (None, c), (None, d), (3, e), (4, ""), (4, " "), (None, None)])

@@ -5,9 +5,12 @@ below 2**31, which keep every product and every running sum within 64 bits, so t
 once. The hash of any span follows from two entries; equal spans are found by comparing ``P[j] - P[i]`` shifted to a
 common power, and the longest common extension of two positions by binary search.
 
-A fingerprint keeps a text's length, the hash of all of it, and the hashes of its prefixes and suffixes whose lengths
-are on a fixed ladder. Two fingerprints are compared as the arrays are, by binary search over the rungs that both have:
-the longest common prefix and suffix, as a share of the longer text.
+A fingerprint keeps a text's length, the hash of all of it, the hashes of its prefixes and suffixes whose lengths
+are on a fixed ladder, and the lengths and hashes of spans that the text's own contents bound: a span begins where the hash of
+``GRAM`` code points is the least within ``REACH`` places on both sides, so equal passages are cut alike wherever they
+stand. Two fingerprints are compared as the arrays are, by binary search over the rungs that both have: the longest common
+prefix and suffix, and between them the equal spans, as a share of the longer text. An edit costs the span that it is in,
+and sometimes one beside it.
 
 Nulls: a null text is empty. Documents are in descending order of ``doc_id``, nulls last, rows that repeat an id by a
 hash of their text and then the text; the one after the last is the first, also where there is only one. An empty
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 #: Two primes and a base for each.
 PRIMES = ((2_147_483_647, 1_000_003_919), (2_147_483_629, 789_190_703))
 
+#: Code points whose hash decides on a span's begin, and places on either side that it is compared with.
+GRAM, REACH = 8, 16
+
 
 def rungs(n: int) -> list[int]:
     """The ladder's lengths up to ``n``: about a fifth apart."""
@@ -42,11 +49,12 @@ def rungs(n: int) -> list[int]:
 class Powers:
     """Powers of the bases, as far as a text has needed them."""
 
-    def __init__(self):
-        self.of = [np.ones(1, dtype=np.int64) for _ in PRIMES]
+    def __init__(self, bases: tuple[tuple[int, int], ...] = PRIMES):
+        self.bases = bases
+        self.of = [np.ones(1, dtype=np.int64) for _ in bases]
 
     def upto(self, n: int) -> list[np.ndarray]:
-        for k, (prime, base) in enumerate(PRIMES):
+        for k, (prime, base) in enumerate(self.bases):
             while len(self.of[k]) <= n:
                 have = self.of[k]
                 self.of[k] = np.concatenate([have, have * pow(base, len(have), prime) % prime])
@@ -54,6 +62,8 @@ class Powers:
 
 
 POWERS = Powers()
+#: Of the first base's inverse.
+INVERSES = Powers(((PRIMES[0][0], pow(PRIMES[0][1], -1, PRIMES[0][0])),))
 
 
 class PrefixHash:
@@ -92,8 +102,23 @@ class PrefixHash:
             low, high = (middle, high) if self.same(i, other, k, middle) else (low, middle - 1)
         return low
 
+    def anchored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and hashes, by the first prime, of the spans that the contents bound; together they are the text."""
+        prime, p, back = PRIMES[0][0], self.prefix[0], INVERSES.upto(self.n)[0]
+        cuts = np.zeros(0, dtype=np.int64)
+        if self.n >= GRAM:
+            grams = (p[GRAM:] - p[:-GRAM]) % prime * back[: self.n - GRAM + 1] % prime
+            least = np.pad(grams, REACH, constant_values=prime)
+            width = 1
+            while width < REACH:
+                least, width = np.minimum(least[:-width], least[width:]), 2 * width
+            # The least of the REACH places before each, and of those after it; of equal ones in reach, the first counts.
+            cuts = np.flatnonzero((grams < least[: len(grams)]) & (grams <= least[REACH + 1 :]))
+        at = np.unique(np.concatenate([[0], cuts, [self.n]]).astype(np.int64))
+        return np.diff(at), (p[at[1:]] - p[at[:-1]]) % prime * back[at[:-1]] % prime
+
     def fingerprint(self) -> str:
-        """``length:hash of the text:hashes of the ladder's prefixes:of its suffixes``, in hexadecimal.
+        """``length:hash of the text:hashes of the ladder's prefixes:of its suffixes:of the anchored spans:their lengths``, in hexadecimal.
 
         A suffix hash is brought to a common power by the inverse of its start's power.
         """
@@ -104,14 +129,15 @@ class PrefixHash:
         heads = p[at]
         # P[n] - P[n - l] is B**(n - l) times the suffix's hash; times B**l it is B**n times it, and B**-n is one number.
         tails = (p[-1] - p[self.n - at]) % prime * power[at] % prime * pow(base, -self.n, prime) % prime
-        return f"{self.n:x}:{whole}:{heads.astype('>u4').tobytes().hex()}:{tails.astype('>u4').tobytes().hex()}"
+        lengths, spans = self.anchored()
+        return f"{self.n:x}:{whole}:{heads.astype('>u4').tobytes().hex()}:{tails.astype('>u4').tobytes().hex()}:{spans.astype('>u4').tobytes().hex()}:{','.join(f'{x:x}' for x in lengths.tolist())}"
 
 
 def likeness(a: str, b: str) -> float:
-    """From 0 to 1: common prefix and suffix, as far as the ladder tells, over the longer length. Equal fingerprints give 1."""
+    """From 0 to 1: common prefix and suffix, as far as the ladder tells, and equal spans between them, over the longer length. Equal fingerprints give 1."""
     if a == b:
         return 1.0
-    (n_a, _, heads_a, tails_a), (n_b, _, heads_b, tails_b) = a.split(":"), b.split(":")
+    (n_a, _, heads_a, tails_a, *spans_a), (n_b, _, heads_b, tails_b, *spans_b) = a.split(":"), b.split(":")
     n, most = min(int(n_a, 16), int(n_b, 16)), max(int(n_a, 16), int(n_b, 16))
     at = rungs(n)
 
@@ -122,7 +148,22 @@ def likeness(a: str, b: str) -> float:
             low, high = (middle, high) if x[8 * (middle - 1) : 8 * middle] == y[8 * (middle - 1) : 8 * middle] else (low, middle - 1)
         return at[low - 1] if low else 0
 
-    return min(common(heads_a, heads_b) + common(tails_a, tails_b), n) / most if most else 1.0
+    head, tail = common(heads_a, heads_b), common(tails_a, tails_b)
+    same = head + tail
+    if same < n:
+        equal = _between(*spans_a, head, int(n_a, 16) - tail) & _between(*spans_b, head, int(n_b, 16) - tail)
+        same += sum(length * k for (length, _), k in equal.items())
+    return min(same, n) / most if most else 1.0
+
+
+def _between(hashes: str, lengths: str, start: int, end: int) -> Counter[tuple[int, str]]:
+    """Lengths and hashes of the spans that lie from ``start`` to ``end``."""
+    out, at = [], 0
+    for k, length in enumerate(int(x, 16) for x in lengths.split(",")):
+        if at >= start and at + length <= end:
+            out.append((length, hashes[8 * k : 8 * k + 8]))
+        at += length
+    return Counter(out)
 
 
 def edited(text: str, following: str) -> str:
@@ -180,13 +221,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     last = (bucket, doc_id.as_py(), text, guest, print_)
 
         out: list[tuple] = []
+        held = 0
         for doc_id, text, own, following, next_print in follow():
             new = edited(text, following)
             changed = PrefixHash(new).fingerprint() if new != text else own
             out.append((doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), own, changed, likeness(own, changed), likeness(own, next_print)))
-            if len(out) >= 2000:
+            held += len(own) + len(changed)
+            if len(out) >= 2000 or held >= 8_000_000:
                 yield _batch(out)
-                out = []
+                out, held = [], 0
         yield _batch(out)
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -199,6 +200,25 @@ def test_fingerprints_in_order(docs, empty, sample):
     assert likeness(PrefixHash("a" * 90).fingerprint(), PrefixHash("a" * 60 + "b" * 30).fingerprint()) > 0.5
 
 
+def test_equal_middle_parts_count():
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900))
+    spread = list(text)
+    for i in range(10):
+        spread[len(text) * (2 * i + 1) // 20] = "#"
+    other = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(900))
+
+    def near(a, b):
+        return likeness(PrefixHash(a).fingerprint(), PrefixHash(b).fingerprint())
+
+    assert near(text, "#" + text[1:-1] + "#") > 0.95 and near(text, "".join(spread)) > 0.8 and near(text, "More before. " + text + " And after.") > 0.95
+    assert near(text, other) < 0.05 and near("#" + text[1:], other + text[2000:]) > 0.25
+    for t in ("", "x", "x" * 5000, "word " * 400, text, "é😀" * 30):
+        lengths, spans = PrefixHash(t).anchored()
+        at = [0, *itertools.accumulate(lengths.tolist())]
+        assert at[-1] == len(t) and spans.tolist() == [PrefixHash(t[i:j]).span(0, j - i)[0] for i, j in itertools.pairwise(at)]
+
+
 def plain_classes(rows, width, percent):
     def shingles(t):
         w = WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}))

@@ -23,6 +23,8 @@ from framerank.llm.common import cut, shared_path
 END_ID = 2
 #: Code points of text that are encoded to one Arrow batch at most, besides a single longer text.
 BATCH_CHARS = 4_000_000
+#: Documents in a file at most; a task that has more goes on with another file.
+FILE_ROWS = 250_000
 SCHEMA = "doc_id long, ids array<int>"
 
 
@@ -59,9 +61,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) ->
     Texts rather than ids go through the shuffle: they are the smaller of the two.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]  # the hash splits an id that many rows have
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    options = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "1000", "orc.create.index": "true", "orc.stripe.size": str(32 << 20), "compression": "zstd", "maxRecordsPerFile": str(FILE_ROWS)}
     encode(rows, vocabulary, end_id).write.options(**options).orc(path)
 
 

@@ -6,23 +6,35 @@ import zlib
 import numpy as np
 import pytest
 
-from framerank.llm import orctokens, packing
+from framerank.llm import orctokens, packing, tokens
 from framerank.llm.common import shared_path
-from framerank.llm.tokens import encoder
 
-ALPHABET = "ab Ab'sS.,\n\t   ééİßſKK  12٣½<|endoftext|>\x1c\x85ñ漢字\U0001f600#_-'ll I'm ="
+ALPHABET = "ab Ab'sS.,\n\t   ééİßſKK  12٣½|\x1c\x85\xa0\u2003ñ漢字\U0001f600#_-'ll I'm ="
+PARTS = ["the", "The.", "  ", "\n", "\n\n", " \n", "\t", "a.b", "||", "é.", "don't", "12,", "\xa0", "\u2003", "é", "ZU.\nGE!!", "<|endoftext|>", "<|", "some text"]
+
+
+@pytest.fixture
+def plain():
+    """The library's own reader of a vocabulary file, fresh and unaltered."""
+    return pytest.importorskip("tokenizers").Tokenizer.from_file
 
 
 @pytest.mark.parametrize("which", ["word_bpe", "byte_bpe"])
-def test_chunks_give_the_ids_of_whole_texts(which, request):
-    c, rng = encoder(request.getfixturevalue(which)), random.Random(4)
-    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 16))) for _ in range(6000)] + [" ", "  a", "a  ", "a \n b", "x" * 300, "Word. Word, word!? Word."]
+def test_chunks_give_the_ids_of_whole_texts(which, request, plain, monkeypatch):
+    monkeypatch.setattr(tokens, "GENERATION", 400)  # so that generations change
+    path = request.getfixturevalue(which)
+    c, want, rng = tokens.Chunks(path), plain(path), random.Random(4)
+    texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 16))) for _ in range(6000)]
+    texts += ["".join(rng.choice(PARTS) + rng.choice([" ", "", " "]) for _ in range(rng.randint(0, 9))) for _ in range(6000)]
+    texts += [" ", "  a", "a  ", "a \n b", "x" * 300, "Word. Word, word!? Word.", "some text <|endoftext|> more", "long " * 5000 + "  \n" + "more\n" * 5000]
     for t in texts:
-        assert np.frombuffer(c.encode(t), "<u4").tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(c.encode(t), "<u4").tolist() == want.encode(t, add_special_tokens=False).ids, repr(t[:100])
 
 
 def expected(path, text, end, capacity=None):
-    ids = np.array([*encoder(path).tokenizer.encode(text or "", add_special_tokens=False).ids, end], "<u4")
+    from tokenizers import Tokenizer
+
+    ids = np.array([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end], "<u4")
     return [ids[k : k + (capacity or len(ids))] for k in range(0, len(ids), capacity or len(ids))]
 
 
@@ -63,3 +75,27 @@ def test_orc_round_trip(spark, docs, empty, byte_bpe):
     assert [(-1 if r.doc_id != r.doc_id else int(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got.itertuples()] == want
     assert orctokens.look_up(spark, path, [4]).count() == 1
     assert orctokens.round_trip(empty, byte_bpe).count() == 0
+
+
+def _rows_scanned(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_files_are_pruned_and_hold_bloom_filters(spark, byte_bpe, monkeypatch):
+    monkeypatch.setattr(orctokens, "FILE_ROWS", 9000)
+    ids = spark.range(0, 40_000, 2, 1)
+    path = shared_path(spark, "test-orc")
+    orctokens.write(ids.selectExpr("id AS doc_id", "concat('text number ', id) AS text").coalesce(1), path, byte_bpe)
+    found = orctokens.look_up(spark, path, [20_000])
+    assert [r.doc_id for r in found.collect()] == [20_000] and _rows_scanned(found) <= 1000
+    # An odd id lies within the bounds of a row group; only the Bloom filter tells that it isn't there (but for one in a hundred).
+    assert sum(_rows_scanned(orctokens.look_up(spark, path, [k])) > 0 for k in range(10_001, 10_041, 2)) <= 3
+    files = sorted(f for f in spark.read.orc(path).inputFiles())
+    sizes = [orctokens.read(spark, f).count() for f in files]
+    assert sum(sizes) == 20_000 and max(sizes) <= 9000
+    firsts = [orctokens.read(spark, f).agg({"doc_id": "min"}).first()[0] for f in files]
+    assert firsts == sorted(firsts)

@@ -6,26 +6,17 @@ band and value finds all pairs. Equal hashes are one node, so a group of copies
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import hamming
+from framerank.operators.cuts import cut
 from framerank.schema import HASH_DISTANCE, checked
 
 #: Bands narrower than so many bits hold too many hashes each; larger distances compare all distinct hashes.
 LEAST_BITS = 4
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage ended in the shared checkpoint folder of the session."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="framerank-checkpoint-"))
-    return df.checkpoint()
-
-
 def band(hash: Column, i: int, bands: int) -> Column:
     """The bits of one of ``bands`` nearly equal parts of a hash."""
     low, high = 64 * i // bands, 64 * (i + 1) // bands
@@ -63,15 +54,17 @@ def hamming_pairs(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """``node, root`` over ``a, b``: the smallest value that each node reaches; labels of labels halve long chains."""
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    """``node, root`` over ``a, b``: the smallest value that each node reaches.
+
+    Each round takes the smallest label among neighbours and then the label's own label, so long chains shorten by half.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(rounds):
-        labels = cut(labels)
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = cut(hooked.join(up, "root").select("node", "old", F.least("root", "up").alias("root")))
+        jumped = cut(hooked.join(up, "root").select("node", "old", F.least("root", "up").alias("root")), "labels")
         if jumped.where("old <> root").isEmpty():
             return jumped.select("node", "root")
         labels = jumped.select("node", "root")

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import is_supported
+from framerank.operators.cuts import shared_path
 from framerank.sources.files import not_pruned, scan
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder in the shared checkpoint folder, where there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='framerank-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, path: str) -> DataFrame:
     """The events table as a stream of scan events; ``path`` is a file or a folder of files."""
     schema = spark.read.parquet(path).schema
@@ -30,7 +22,7 @@ def events(spark: SparkSession, path: str) -> DataFrame:
 
 def _drained(stream: DataFrame) -> DataFrame:
     """What a stream appends until all that is there has been read."""
-    at = _folder(stream.sparkSession)
+    at = shared_path(stream.sparkSession, "stream")
     sink = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
     sink.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out")
@@ -43,7 +35,7 @@ def scan_table(spark: SparkSession, path: str) -> DataFrame:
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """Running counts by kind, as they stand at the end of the stream."""
-    at = _folder(spark)
+    at = shared_path(spark, "stream")
     counts = events(spark, path).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -1,45 +1,16 @@
-"""Helpers that several operators share: the shared folder, written cuts, words and bounded ranks."""
+"""Helpers that several operators share: written cuts, words and bounded ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framerank.operators.cuts import cut, shared_dir, shared_path  # noqa: F401
+
 #: Words are runs of anything but ASCII white space. ``bytes.split()`` cuts UTF-8 in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where the session has none (local tests) a folder of this machine is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="framerank-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/framerank-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    The lineage ends there, so a lost executor costs no recomputation of what came before. The files stay until
-    the shared folder is cleared, as those of ``checkpoint()`` do.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from framerank.llm import forest, neardup, sanitize, secretlinks, tagpaths
@@ -266,6 +267,42 @@ def test_classes_match_all_pairs(spark, width):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize("quiet", [neardup.QUIET, None])
+def test_groups_about_the_threshold(spark, quiet):
+    """Copies of one text that are alike, or just not, to the text and to each other."""
+    rng, rows = random.Random(11), []
+    for size, changed in ((150, 5), (60, 7), (40, 3)) if quiet else ((20, 6),):
+        base = [f"w{rng.randrange(4000)}" for _ in range(100)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(changed - 2, changed + 2)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(4000)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    chain = [f"c{i}" for i in range(100)]  # each version is alike to its neighbours only
+    for k in range(30 if quiet else 6):
+        rows.append(" ".join(chain))
+        chain[3 * k : 3 * k + 3] = [f"n{k}.{j}" for j in range(3)]
+    rows = list(enumerate(rows))
+    _, want = plain_classes(rows, 2, 80)
+    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2, quiet=quiet).collect()}
+    assert [got[d] for d, _ in rows] == want
+
+
+def test_pairs_at_the_threshold_share_a_bucket():
+    """The sketch's recall, measured: of pairs at a similarity of 0.8 none is without a common bucket or below the bins that must agree."""
+    rng = np.random.default_rng(12)
+    for size in (5, 9, 45, 180, 900):
+        both = max(1, round(size * 0.8))
+        for _ in range(400):
+            each = rng.integers(0, 2**64, size, dtype=np.uint64)
+            more = (size - both) // 2
+            a, b = np.unique(each[: both + more]), np.unique(np.concatenate([each[:both], each[both + more :]]))
+            if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                x, y = neardup.signature(a), neardup.signature(b)
+                assert (neardup.buckets(x) == neardup.buckets(y)).any() and ((x & np.uint64(255)) == (y & np.uint64(255))).sum() >= neardup.LEAST_AGREED
+
+
 def test_classes_of_awkward_documents(docs, empty):
     got = neardup.classes(docs, 2).collect()
     assert len(got) == docs.count() and {r.component_id for r in got if r.doc_id in (4, 5)} == {4} and {r.component_id for r in got if r.doc_id in (6, 7)} == {6}

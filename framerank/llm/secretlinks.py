@@ -4,7 +4,9 @@ Base spans follow three patterns. Besides, a text is searched for weak parts, wh
 identifiers (``id``), secrets (``secret``) and endpoints (``endpoint``). Parts are intervals of code points; two are
 within one scope when at most ``SCOPE`` code points lie between them. An interval join keeps a weak part only if
 complementary parts lie in its scope: an identifier needs a secret, an endpoint needs a secret, a secret needs an
-identifier or an endpoint. Base spans count as parts: ``access`` as an identifier, ``assign`` and ``hex`` as secrets.
+identifier or an endpoint. Base spans count as parts: ``access`` as an identifier, ``assign`` and ``hex`` as secrets. A part
+doesn't support itself: a weak part that overlaps a base span is that span, and a weak secret that overlaps an identifier or an
+endpoint is a piece of it (the value of ``client_id=``, the path of an address).
 
 A part's nearest neighbours of a class before and after it decide whether any lies in its scope, so the interval join is
 one window over a document's parts and makes no pairs. Positions come from the lengths of matches and of what lies between
@@ -71,12 +73,16 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     classes = F.element_at(F.array(*[F.lit(c) for _, _, c, _ in KINDS]), F.col("kind") + 1)
     weak = F.element_at(F.array(*[F.lit(w) for *_, w in KINDS]), F.col("kind") + 1)
     spans = spans.withColumn("class", classes).withColumn("weak", weak)
-    # A weak part that overlaps a base span is that span. Spans that end latest before and start first after decide.
+    # Spans that end latest before a part and start first after it tell whether any overlaps it, or lies in its scope.
     order = Window.partitionBy("row").orderBy("start", "kind", "end")
     until, since = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
-    base_end, base_start = F.when(~F.col("weak"), F.col("end")), F.when(~F.col("weak"), F.col("start"))
-    covered = (F.max(base_end).over(until) > F.col("start")) | (F.min(base_start).over(since) < F.col("end"))
-    spans = spans.withColumn("covered", F.col("weak") & F.coalesce(covered, F.lit(False))).where("not covered")
+
+    def overlaps(which: Column) -> Column:
+        end, start = F.max(F.when(which, F.col("end"))).over(until), F.min(F.when(which, F.col("start"))).over(since)
+        return F.coalesce(end > F.col("start"), F.lit(False)) | F.coalesce(start < F.col("end"), F.lit(False))
+
+    spans = spans.withColumn("drop", F.col("weak") & overlaps(~F.col("weak"))).where("not drop")
+    spans = spans.withColumn("drop", F.col("weak") & (F.col("class") == "s") & overlaps(F.col("weak") & (F.col("class") != "s"))).where("not drop")
 
     def near(of: str) -> Column:
         last = F.max(F.when(F.col("class") == of, F.col("end"))).over(until)

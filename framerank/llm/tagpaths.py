@@ -6,8 +6,10 @@ divided by the number of blocks; in page order these ratios are smoothed with a
 long ones keeps its place, and fused into one value: length times punctuation, less what is linked. Paths that pass
 a share of the values' spread are content. The content region is what the page marks as its article or main
 part if content lies there, else the smallest element that holds most of the content's text and isn't one of several
-content blocks by itself. The article is all blocks of the region and all content blocks outside it, but none below
-elements that mark themselves as something else (menus, headers, footers, asides, forms, adverts, notices, comments).
+content blocks by itself. The article is all content blocks, and in the region also those of other paths, such as short list
+items, unless all that their path holds is links. Nothing below elements that mark themselves as something else (menus, headers, footers,
+asides, forms, adverts, notices, comments) belongs to it. Inside an article such a mark on a container counts in the same way, but one on a
+paragraph, list item or the like is only a weight (``MARKED``) on the ratios of a path of its own, not smoothed, and they decide.
 
 Each page is read by itself in one pass of a tokenizer, in time linear in its length.
 
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 #: Width of the Gaussian window, in blocks, and the share of the spread that a path must pass.
 SIGMA, SHARE = 1.0, 0.25
+#: What a mark inside an article leaves of a path's value.
+MARKED = 0.25
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -55,6 +59,8 @@ ENDS = {
 #: Elements that are never the article's text.
 APART = frozenset("nav footer aside form button dialog menu head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that a mark sets apart inside an article too.
+CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center hgroup header dir address".split())
 #: Words in classes, ids and roles that say the same.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies respond widget pagination pager toolbar search complementary contentinfo dialog".split()
@@ -69,7 +75,7 @@ class Element:
     parent: Element | None
     depth: int
     article: Element | None = None
-    chars: int = 0
+    weight: float = 1.0
 
 
 @dataclass
@@ -160,9 +166,11 @@ class Reader:
             if tag in BLOCKS:
                 flush()
             top = stack[-1]
-            apart = top.apart or tag in APART or (tag == "header" and top.article is None) or _marked(tag, rest)
-            path = paths.setdefault((top.path, tag), len(paths) + 1) if tag in BLOCKS else top.path
-            element = Element(tag, path, apart, top, top.depth + 1)
+            hidden, marked = _marks(tag, rest)
+            weighs = marked and top.article is not None and tag not in CONTAINERS
+            apart = top.apart or tag in APART or (tag == "header" and top.article is None) or hidden or (marked and not weighs)
+            path = paths.setdefault((top.path, tag + "!" * weighs), len(paths) + 1) if tag in BLOCKS else top.path
+            element = Element(tag, path, apart, top, top.depth + 1, weight=top.weight * (MARKED if weighs and tag in BLOCKS else 1.0))
             element.article = top.article or (element if tag in ("article", "main") and not apart else None)
             stack.append(element)
             open_count[tag] = open_count.get(tag, 0) + 1
@@ -171,16 +179,15 @@ class Reader:
         return self.blocks
 
 
-def _marked(tag: str, attributes: str) -> bool:
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attributes):
-        value, name = (a or b or c).lower(), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element hides itself, and whether it names itself as one of ``MARKS``."""
+    hidden = marked = False
+    if tag not in ("html", "body", "article", "main") and attributes.strip():
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
+            value, name = (a or b or c).lower(), name.lower()
+            hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
+            marked |= name in ("class", "id", "role") and not MARKS.isdisjoint(WORD.findall(value))
+    return hidden, marked
 
 
 def fused(blocks: list[Block]) -> None:
@@ -197,6 +204,9 @@ def fused(blocks: list[Block]) -> None:
     reach = max(1, math.ceil(3 * SIGMA))
     window = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-reach, reach + 1)]
     for i, b in enumerate(blocks):
+        if b.element.weight < 1.0:  # its long neighbours don't speak for a marked paragraph
+            b.value = ratios[i][0] * math.sqrt(ratios[i][1]) * ratios[i][2] * b.element.weight
+            continue
         near = [(window[k + reach], ratios[i + k]) for k in range(-reach, reach + 1) if 0 <= i + k < len(blocks)]
         weight = sum(w for w, _ in near)
         length, stops = (sum(w * r[j] for w, r in near) / weight for j in (0, 1))
@@ -226,7 +236,11 @@ def main_text(page: str | None) -> str:
         return ""
     regions = _articles(chosen) or [_holder(chosen)]
     ids = {id(r) for r in regions}
-    return "\n".join(b.text for b in blocks if not b.element.apart and (_key(b) in content or _within(b.element, ids)))
+
+    def belongs(b: Block) -> bool:
+        return b.element.weight == 1.0 and (means[_key(b)] > 0 or b.element.tag in HEADINGS) and _within(b.element, ids)
+
+    return "\n".join(b.text for b in blocks if not b.element.apart and (_key(b) in content or belongs(b)))
 
 
 def _articles(chosen: list[Block]) -> list[Element]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -103,6 +104,42 @@ def test_secret_tokens_of_any_length(spark):
     assert got[len(tokens)] == f"endpoint:0:20,secret:21:{21 + 86}"
 
 
+def plain_links(spans, scope):
+    """All pairs of parts, one by one."""
+    near = lambda a, b: 0 <= b[1] - a[2] <= scope or 0 <= a[1] - b[2] <= scope
+    over = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    kind = lambda x: "sisise"[x[0]]  # noqa: E731  classes by kind: the first three are base
+    left = [a for a in spans if a[0] < 3 or not any(b[0] < 3 and over(a, b) for b in spans)]
+    left = [a for a in left if a[0] != 4 or not any(b[0] in (3, 5) and over(a, b) for b in left)]
+    return sorted(a for a in left if a[0] < 3 or any((kind(b) != "s" if kind(a) == "s" else kind(b) == "s") and near(a, b) for b in left if b != a))
+
+
+def test_interval_join_matches_all_pairs(spark):
+    rng, rows, want = random.Random(13), [], {}
+    for row in range(400):
+        found, spans = [], []
+        for kind in range(6):
+            at = 0
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                gap, length = rng.randint(0, 60), rng.randint(1, 25)
+                found.append((kind, gap, length, True))
+                spans.append((kind, at + gap, at + gap + length))
+                at += gap + length
+        rows.append((row, found))
+        want[row] = plain_links(spans, 15)
+    table = spark.createDataFrame(rows, "row long, found array<struct<kind:int,gap:int,len:int,ok:boolean>>")
+    got = collections.defaultdict(list)
+    for r in secretlinks.linked(table, 15).collect():
+        got[r.row].append((r.kind, r.start, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_parts_do_not_support_themselves(spark):
+    cases = ["client_id=AbCdEf0123456789AbCdEf0123", "see https://example.org/Articles/2021/05/HelloWorldPost", "client_id=AbCdEf0123456789AbCdEf0123 https://example.org/Articles/2021/05/HelloWorldPost", "client_id=AbCdEf0123 pwd: hunter22"]
+    got = {r.doc_id: r.spans for r in secretlinks.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == ["", "", "", "id:0:20,secret:21:34"]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><a href=/>Home</a></header>
 <nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav><div class="cookie-notice">We use cookies, as you know. Accept them, please.</div>
 %s<aside>Related, and more. So much more.</aside><form><label>Mail, please.</label><input name=q></form><section id=comments><p>Nice one, I say. Really.</p></section>
@@ -119,6 +156,34 @@ def test_main_text():
     tagpaths.main_text("<div>" * 20_000 + "x" + "<p>" * 20_000 + "<a " * 20_000 + "<" * 20_000)
 
 
+def test_ratios_decide_on_marked_paragraphs_of_an_article():
+    text = "A sentence of the article, as long as the others are. And one more, for good measure."
+    page = "<html><body><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav><article><h1><a href=z>Title</a></h1>%s</article></body></html>"
+    body = f"<p>{text}</p>" * 3
+    assert tagpaths.main_text(page % (body + f'<p class="social-history">{text} It goes on, too.</p>')).endswith("It goes on, too.")
+    assert tagpaths.main_text(page % (body + '<p class="share">Tell them</p>')) == "\n".join(["Title", *[text] * 3])
+    assert tagpaths.main_text(page % (body + f'<div class="comments"><p>{text}</p></div><ul><li><a href=a>More of it</a><li><a href=b>And more</a></ul>')) == "\n".join(["Title", *[text] * 3])
+    assert tagpaths.main_text(page % (body + '<ol><li>Item</ol>')) == "\n".join(["Title", *[text] * 3, "Item"])
+
+
+def test_values_match_a_plain_computation():
+    """Each path's ratios by one pass over all blocks for each block."""
+    rng = random.Random(15)
+    tags = ["<p>", "<div>", "</div>", "<li>", "<ul>", "</ul>", "<a href=x>", "</a>", "<section>", "</section>", "<aside>", "</aside>", "<h2>", "</h2>", "<article>", "</article>", '<p class="ad">']
+    for _ in range(300):
+        page = "".join(rng.choice(tags) + rng.choice(["", "word ", "A sentence, with signs. ", "x" * 40]) for _ in range(rng.randint(1, 40)))
+        blocks = tagpaths.Reader().read(page)
+        tagpaths.fused(blocks)
+        same = lambda b, c: (b.element.apart, b.element.path) == (c.element.apart, c.element.path)
+        chars = [sum(len(c.text) for c in blocks if same(b, c)) / sum(same(b, c) for c in blocks) for b in blocks]
+        stops = [1 + sum(c.stops for c in blocks if same(b, c)) / sum(same(b, c) for c in blocks) for b in blocks]
+        free = [0 if b.element.apart else 1 - sum(min(c.linked, len(c.text)) for c in blocks if same(b, c)) / sum(len(c.text) for c in blocks if same(b, c)) for b in blocks]
+        for i, b in enumerate(blocks):
+            window = {i: 1.0} if b.element.weight < 1 else {j: math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 3), min(len(blocks), i + 4))}
+            smooth = [sum(w * x[j] for j, w in window.items()) / sum(window.values()) for x in (chars, stops)]
+            assert b.value == pytest.approx(smooth[0] * math.sqrt(smooth[1]) * free[i] * b.element.weight)
+
+
 def test_all_content_blocks_are_kept():
     long, short = "A sentence, as long as it is. " * 66, "And a short one, with a comma in it. " * 3
     paragraphs = f"<p>{long}</p><h2>Between</h2><p>{short}</p><p>{short}</p>"

@@ -6,15 +6,17 @@ for a term that is never seen without the value and falls with every place where
 ``THRESHOLD`` over at least ``SUPPORT`` places is disclosing, and all its occurrences are spans (``term``).
 
 Evidence is counted by place, not by document: a place is the hash of the two words before and the two after a term or a
-value, base spans left out. Copies of a document repeat its places and prove nothing by their number, so the terms of a
+value on its line, base spans left out. Copies of a document repeat its places and prove nothing by their number, so the terms of a
 text that was merely copied aren't taken for revealing; a term and a value are seen together as often as both are in
-different places.
+different places. How many places there are is taken to be the number of words of all different texts.
 
 Counts cover all documents. The threshold is a most number of places for a term (its limit); a term that has more of them
-near values alone is none. The others are few and are counted over the corpus, where a table of fixed size, limits by
+near values alone is none. The others are few and are counted over the corpus, where a table of bounded size, limits by
 the terms' hashes, lets nearly nothing else into the shuffle, and a task that has found a term in more places than its limit
 says so once. An exact join follows.
 
+Terms have ``LEAST_CHARS`` code points or more.
+
 Nulls: a null text is empty and has no spans. Repeated rows have the same spans each and count as one place. An empty
 table gives an empty table.
 """
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +38,10 @@ from framerank.llm.common import cut
 KINDS = ("email", "ip", "card", "phone")
 REACH = 8
 SUPPORT = 3
-THRESHOLD = 0.9
-#: Bytes of the table of limits: its size doesn't depend on the corpus.
-SLOTS = 1 << 21
+THRESHOLD = 0.95
+LEAST_CHARS = 2
+#: Bytes of the table of limits, a power of two: about 16 a term, but no less and no more than these.
+FEWEST_SLOTS, MOST_SLOTS = 1 << 21, 1 << 26
 
 #: The pattern of an e-mail address from its @ on, and the letters before it.
 AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -45,7 +49,6 @@ LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 LINE_OR_TERM = re.compile(r"\n|[^\W_]+(?:['’-][^\W_]+)*")
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -94,50 +97,77 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x00".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def words_of(text: str, spans: list[Span]) -> tuple[list[str], list[int], list[int]]:
+    """The terms of a text and its line ends, with where they start and end; what overlaps a base span is left out."""
+    words, starts, ends, k, until = [], [], [], 0, 0
+    for m in LINE_OR_TERM.finditer(text):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:  # spans that begin before the term's end: the furthest end among them decides
+            until = max(until, spans[k][2])
+            k += 1
+        if a >= until:
+            words.append(m[0].lower()), starts.append(a), ends.append(b)
+    return words, starts, ends
+
+
+def _side(words: list[str], i: int, step: int, most: int) -> list[int]:
+    """Up to ``most`` terms from ``i`` on, in either direction, on the same line."""
+    out = []
+    while 0 <= i < len(words) and len(out) < most and words[i] != "\n":
+        out.append(i)
+        i += step
+    return out
+
+
+def _place(words: list[str], i: int) -> int:
+    """The place of the term at ``i``."""
+    return _hash(*(words[k] for k in (*reversed(_side(words, i - 1, -1, 2)), i, *_side(words, i + 1, 1, 2))))
+
+
 def evidence(text: str, spans: list[Span]) -> list[tuple[str, int, str, int]]:
     """Value and its place, term and its place, for the terms near base spans."""
-    found = []
+    words, starts, _ = words_of(text, spans)
+    found, places = [], {}
     for start, kind, end in spans:
         value = f"{KINDS[kind]}:{text[start:end].lower()}"
-        lo, hi = max(text.rfind("\n", 0, start) + 1, start - 200), text.find("\n", end, end + 200)
-        hi = min(len(text), end + 200) if hi < 0 else hi
-        before, after = list(TERM.finditer(text, lo, start))[-REACH - 2 :], list(TERM.finditer(text, end, hi))[: REACH + 2]
-        line = [m for m in (*before, *after) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
-        words = [m[0].lower() for m in line]
-        n = sum(m.end() <= start for m in line)
-        at = _hash(*words[max(0, n - 2) : n + 2])
-        for i, w in enumerate(words):
-            if len(w) > 2:
-                found.append((value, at, w, _hash(*words[max(0, i - 2) : i + 3])))
+        i = bisect_left(starts, start)
+        before, after = _side(words, i - 1, -1, REACH), _side(words, i, 1, REACH)
+        at = _hash(*(words[k] for k in (*reversed(before[:2]), *after[:2])))
+        for k in (*before, *after):
+            if len(words[k]) >= LEAST_CHARS:
+                if k not in places:
+                    places[k] = _place(words, k)
+                found.append((value, at, words[k], places[k]))
     return found
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, h`` (hash of the text), ``base`` spans and ``near``, the evidence, of every document."""
+    """``doc_id, h`` (hash of the text), ``n_words``, ``base`` spans and ``near``, the evidence, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
         clue = pa.struct([("value", pa.string()), ("at", pa.int64()), ("term", pa.string()), ("place", pa.int64())])
         for batch in batches:
-            base, near = [], []
+            base, near, n_words = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
+                n_words.append(len(text.split()))
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
                 near.append([dict(zip(("value", "at", "term", "place"), e, strict=True)) for e in evidence(text, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(base, pa.list_(kind)), pa.array(near, pa.list_(clue))], ["doc_id", "h", "base", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n_words, pa.int64()), pa.array(base, pa.list_(kind)), pa.array(near, pa.list_(clue))], ["doc_id", "h", "n_words", "base", "near"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, at: long, term: string, place: long>>")
+    return rows.mapInArrow(run, "doc_id long, h long, n_words long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, at: long, term: string, place: long>>")
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
     """``term``s that disclose a value; ``None`` if no term has the support.
 
-    ``PMI / IC >= threshold`` is ``n_t <= n_vt * (n / n_v) ** (1 - threshold)`` with the places of the term, of both together
-    and of the value.
+    ``PMI / IC >= threshold`` is ``n_t <= n_vt * (n / n_v) ** (1 - threshold)`` with the places of the term, of both together,
+    of the value and all.
     """
-    n = float(max(2, docs.count()))
+    n = float(max(2, scanned.groupBy("h").agg(F.first("n_words").alias("n")).agg(F.sum("n")).first()[0] or 0))
     clues = cut(scanned.select(F.explode("near").alias("c")).select("c.*").distinct(), "clues")
     joint = clues.groupBy("value", "term").agg(F.least(F.countDistinct("place"), F.countDistinct("at")).alias("n_vt")).where(F.col("n_vt") >= support)
     n_v = clues.select("value", "at").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_v"))
@@ -171,54 +201,43 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, thre
 
 def limit_table(limits: DataFrame) -> bytes | None:
     """By slot, the power of two that no limit of its terms exceeds, plus one; 0 without terms. ``None`` without any."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOTS)).cast("int")
+    n = limits.count()
+    if not n:
+        return None
+    slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (16 * n - 1).bit_length()))
+    slot = F.pmod(F.xxhash64("term"), F.lit(slots)).cast("int")
     level = F.least(F.ceil(F.log2(F.greatest("limit", F.lit(1.0)))) + 1, F.lit(63)).cast("long")
     levels = limits.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
-    rows = levels.groupBy((F.col("slot") / 8).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(level, slot % 8 * 8)")).alias("eight")).collect()  # at most SLOTS / 8 rows
-    if not rows:
-        return None
-    out = np.zeros(SLOTS // 8, dtype="<u8")
+    rows = levels.groupBy((F.col("slot") / 8).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(level, slot % 8 * 8)")).alias("eight")).collect()  # at most `slots` / 8 rows
+    out = np.zeros(slots // 8, dtype="<u8")
     for r in rows:
         out[r["at"]] = r["eight"] & 0xFFFFFFFFFFFFFFFF
     return out.tobytes()
 
 
-_SLOTS: dict[str, int] = {}
+_HASHES: dict[str, int] = {}
 
 
-def _slot(term: str) -> int:
-    """The slot that Spark's ``xxhash64`` gives a term; kept for the worker's frequent terms."""
-    if (found := _SLOTS.get(term)) is None:
+def _term_hash(term: str) -> int:
+    """What Spark's ``xxhash64`` gives a term, without sign; kept for the worker's frequent terms."""
+    if (found := _HASHES.get(term)) is None:
         from xxhash import xxh64_intdigest
 
-        if len(_SLOTS) >= 500_000:
-            _SLOTS.clear()
-        found = _SLOTS[term] = xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42) % SLOTS
+        if len(_HASHES) >= 500_000:
+            _HASHES.clear()
+        found = _HASHES[term] = xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)
     return found
 
 
 def occurrences(text: str, table: bytes) -> Iterator[tuple[str, int, int, int, int]]:
     """Term, start, end, place and the bound on the limit, of the terms that the table lets through."""
-    found = list(LINE_OR_TERM.finditer(text))
-    words = [m[0].lower() for m in found]
-    spans: list[Span] | None = None
+    last = len(table) - 1  # a power of two less one
+    if not any(table[_term_hash(w.lower()) & last] for w in set(LINE_OR_TERM.findall(text)) if len(w) >= LEAST_CHARS):
+        return
+    words, starts, ends = words_of(text, base_spans(text))
     for i, w in enumerate(words):
-        if len(w) > 2:
-            if level := table[_slot(w)]:
-                if spans is None:
-                    spans = base_spans(text)
-                lo, hi = found[i].span()
-                if any(a < hi and lo < b for a, _, b in spans):
-                    continue
-                around = []
-                for step in (-1, 1):
-                    side, k = [], i + step
-                    while 0 <= k < len(found) and words[k] != "\n" and len(side) < 2:
-                        if not any(a < found[k].end() and found[k].start() < b for a, _, b in spans):
-                            side.append(words[k])
-                        k += step
-                    around.append(side)
-                yield w, lo, hi, _hash(*reversed(around[0]), w, *around[1]), 1 << (level - 1)
+        if len(w) >= LEAST_CHARS and (level := table[_term_hash(w) & last]):
+            yield w, starts[i], ends[i], _place(words, i), 1 << (level - 1)
 
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -242,7 +261,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms``."""
+    """Per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms`` and ``n_spans``, those of all kinds."""
     scanned = cut(_scan(docs), "spans")
     terms = disclosing(docs, scanned)
     rows = scanned.select("doc_id", "h", "base")
@@ -261,7 +280,7 @@ def find(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
 
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.sort_array(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    return rows.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.sort_array(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"), (F.size("base") + F.size("terms")).cast("long").alias("n_spans"))
 
 
 def replaced(text: str, spans: list[Span]) -> str:

@@ -69,6 +69,57 @@ def test_disclosing_terms_are_found_and_copies_are_not_evidence(spark, docs, emp
     assert sanitize.find(empty).count() == 0 and sanitize.sanitised(empty).count() == 0
 
 
+def plain_disclosing(texts):
+    """Places as tuples of words, counted in sets."""
+    places, joint, of_value, total = collections.defaultdict(set), collections.defaultdict(lambda: (set(), set())), collections.defaultdict(set), 0
+    for text in set(texts):
+        total += len(text.split())
+        spans = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in plain_spans(text, PII))]
+        at = 0
+        for line in text.split("\n"):
+            words = [(at + m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]+(?:['’-][^\W_]+)*", line) if not any(a < at + m.end() and at + m.start() < b for a, _, b in spans)]
+            place = [tuple(w for _, w in words[max(0, i - 2) : i + 3]) + (min(i, 2),) for i in range(len(words))]
+            for i, (_, w) in enumerate(words):
+                places[w].add(place[i])
+            for a, k, b in spans:
+                if at <= a < at + len(line) + 1 and b <= at + len(line):
+                    value, i = (k, text[a:b].lower()), sum(x < a for x, _ in words)
+                    around = (tuple(w for _, w in words[max(0, i - 2) : i]), tuple(w for _, w in words[i : i + 2]))
+                    of_value[value].add(around)
+                    for j in range(max(0, i - sanitize.REACH), min(len(words), i + sanitize.REACH)):
+                        if len(words[j][1]) >= sanitize.LEAST_CHARS:
+                            both = joint[value, words[j][1]]
+                            both[0].add(place[j]), both[1].add(around)
+            at += len(line) + 1
+    out = set()
+    for (value, term), both in joint.items():
+        n = min(map(len, both))
+        if n >= sanitize.SUPPORT and len(places[term]) <= n * max(1.0, total / len(of_value[value])) ** (1 - sanitize.THRESHOLD):
+            out.add(term)
+    return out
+
+
+def test_disclosing_terms_match_a_plain_count(spark):
+    rng, kinds = random.Random(21), set()
+    for size in (60, 200):
+        words = [f"w{i}" for i in range(40)] + ["Li", "x"] + ["z" * 194]
+        names, values = [f"N{i}" for i in range(12)], [f"v{i}@mail.example.org" for i in range(12)] + ["10.0.0.1", "+1 (222) 333-4444"]
+        rows = []
+        for i in range(size):
+            text = [rng.choice(words) for _ in range(rng.randint(3, 50))]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                k, at = rng.randrange(12), rng.randint(0, len(text))
+                text[at:at] = [names[k], *rng.sample(words, rng.randint(0, 2)), values[k] if rng.random() < 0.8 else rng.choice(values)] if rng.random() < 0.7 else [names[k]]
+            rows.append(rng.choice([" ", " ", ", "]).join(text).replace("w1 ", "\n"))
+        rows += rows[:20]
+        table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").cache()
+        found = sanitize.disclosing(table, sanitize._scan(table))
+        got = set() if found is None else {r.term for r in found.collect()}
+        assert got == plain_disclosing(rows)
+        kinds |= got
+    assert {"li"} != kinds and len(kinds) > 3
+
+
 def test_digests_of_awkward_documents(docs, empty):
     for rows, kinds in ((sanitize.find(docs), PII), (secretlinks.scan(docs), SECRETS)):
         got = sorted((str(r.doc_id), r.base_sha256) for r in rows.collect())

@@ -45,7 +45,7 @@ def variance_of_laplacian(frames: DataFrame, value: str = "gray", id: str = "pho
 
 def with_size(frames: DataFrame, id: str = "photo_id") -> DataFrame:
     w = Window.partitionBy(id)
-    return frames.repartition(id).withColumn("width", F.max("x").over(w) + 1).withColumn("height", F.max("y").over(w) + 1)
+    return frames.withColumn("width", F.max("x").over(w) + 1).withColumn("height", F.max("y").over(w) + 1)
 
 
 def center_crop(frames: DataFrame, fraction: Column | float, id: str = "photo_id") -> DataFrame:
@@ -74,29 +74,46 @@ def sharpest_region(frames: DataFrame, value: str = "gray", id: str = "photo_id"
     return ranked.where(F.col("rank") <= F.greatest(F.ceil(F.col("n") * F.lit(share)), F.lit(1))).groupBy(id).agg(F.avg("v").alias("score"))
 
 
-def tone_scores(gray: DataFrame, id: str = "photo_id") -> DataFrame:
-    """``exposure`` and ``contrast`` of ``photo_id, gray``."""
+def tone_columns() -> tuple[Column, Column]:
+    """``exposure`` and ``contrast`` as aggregates over ``gray``."""
     n, g = F.count(F.lit(1)).cast("double"), F.col("gray").cast("long")
     mean = F.sum(g).cast("double") / n
     clipped = F.sum(F.when((g <= 3) | (g >= 252), 1).otherwise(0)).cast("double") / n
     exposure = clamp(F.lit(100.0) * (F.lit(1.0) - F.abs(mean - 128.0) / 128.0) - clipped * 100.0)
     contrast = clamp(F.sqrt(_variance_of("gray")) * 100.0 / 64.0)
-    return gray.groupBy(id).agg(exposure.alias("exposure"), contrast.alias("contrast"))
+    return exposure.alias("exposure"), contrast.alias("contrast")
 
 
-def color_score(pixels: DataFrame, id: str = "photo_id") -> DataFrame:
-    """Colourfulness of opponent channels, from exact integer sums of ``r - g`` and ``r + g - 2 b``."""
+def tone_scores(gray: DataFrame, id: str = "photo_id") -> DataFrame:
+    """``exposure`` and ``contrast`` of ``photo_id, gray``."""
+    return gray.groupBy(id).agg(*tone_columns())
+
+
+def color_column() -> Column:
+    """Colourfulness of opponent channels, from exact integer sums of ``r - g`` and ``r + g - 2 b``, as an aggregate."""
     n = F.count(F.lit(1)).cast("double")
     rg = (F.col("r") - F.col("g")).cast("long")
     yb2 = (F.col("r") + F.col("g") - F.col("b") * 2).cast("long")
     m1, m2 = F.sum(rg).cast("double") / n, F.sum(yb2).cast("double") / 2.0 / n
     v1 = F.greatest(F.sum(rg * rg).cast("double") / n - m1 * m1, F.lit(0.0))
     v2 = F.greatest(F.sum(yb2 * yb2).cast("double") / 4.0 / n - m2 * m2, F.lit(0.0))
-    return pixels.groupBy(id).agg(clamp((F.sqrt(v1 + v2) + F.sqrt(m1 * m1 + m2 * m2) * 0.3) * 100.0 / 110.0).alias("color"))
+    return clamp((F.sqrt(v1 + v2) + F.sqrt(m1 * m1 + m2 * m2) * 0.3) * 100.0 / 110.0).alias("color")
+
+
+def color_score(pixels: DataFrame, id: str = "photo_id") -> DataFrame:
+    return pixels.groupBy(id).agg(color_column())
+
+
+def factor_scores(pixels: DataFrame, id: str = "photo_id") -> DataFrame:
+    """``vol, exposure, contrast, color, composition`` of ``photo_id, x, y, r, g, b, gray``: one shuffle, one aggregate."""
+    return composition_score(pixels, "gray", id, [_variance_of("lap").alias("vol"), *tone_columns(), color_column()])
+
 
+def composition_score(frames: DataFrame, value: str = "gray", id: str = "photo_id", more: list[Column] = ()) -> DataFrame:
+    """How much of the detail lies near the lines of thirds, against the share of the frame that the bands are held to cover.
 
-def composition_score(frames: DataFrame, value: str = "gray", id: str = "photo_id") -> DataFrame:
-    """How much of the detail lies near the lines of thirds, against the share of the frame that the bands are held to cover."""
+    ``more`` are aggregates to compute beside it, over the same rows with their Laplacian.
+    """
     sized = with_size(with_laplacian(frames, value, id), id)
     near, base = F.lit(False), F.lit(1.0)
     for at, size in (("x", "width"), ("y", "height")):
@@ -107,10 +124,11 @@ def composition_score(frames: DataFrame, value: str = "gray", id: str = "photo_i
         base = base * (F.lit(1.0) - F.least(band * 2.0 / s, F.lit(1.0)))
     e = F.abs("lap").cast("long")
     sums = sized.withColumn("near", near).withColumn("base", F.lit(1.0) - base)
-    sums = sums.groupBy(id).agg(F.sum(e).cast("double").alias("total"), F.sum(F.when(F.col("near"), e).otherwise(0)).cast("double").alias("inside"), F.first("base").alias("base"), F.first("width").alias("width"), F.first("height").alias("height"))
+    sums = sums.groupBy(id).agg(F.sum(e).cast("double").alias("total"), F.sum(F.when(F.col("near"), e).otherwise(0)).cast("double").alias("inside"), F.first("base").alias("base"), F.first("width").alias("width"), F.first("height").alias("height"), *more)
+    added = [c for c in sums.columns if c not in (id, "total", "inside", "base", "width", "height")]
     lift = (F.col("inside") / F.col("total") - F.col("base")) / F.greatest(F.lit(1.0) - F.col("base"), F.lit(1e-6))
     flat = (F.col("width") < 4) | (F.col("height") < 4) | (F.col("total") <= 0)
-    return sums.select(id, F.when(flat, F.lit(50.0)).otherwise(clamp(lift * 50.0 + 50.0)).alias("composition"))
+    return sums.select(id, *added, F.when(flat, F.lit(50.0)).otherwise(clamp(lift * 50.0 + 50.0)).alias("composition"))
 
 
 def oriented(pixels: DataFrame, orientation: Column, id: str = "photo_id") -> DataFrame:

@@ -1,46 +1,71 @@
 """Duplicate groups: Hamming-threshold self-join and connected components.
 
-Two 64-bit hashes within distance ``d`` agree on at least one of ``d + 1`` disjoint bands of bits, so an equi-join on
-band and value finds all pairs. Equal hashes are one node, so a group of copies makes no pairs among themselves.
+A hash is split into ``b`` blocks of bits. Two hashes within distance ``d`` differ in at most ``d`` blocks, so they agree on some
+``b - d`` of them, and an equi-join on every choice of ``b - d`` blocks finds all pairs. More blocks make more keys, each with more
+bits: the rows grow with the choices and the candidates fall with the bits, so ``b`` follows the number of hashes and the
+candidates stay near-linear in it. Equal hashes are one node, so a group of copies makes no pairs among themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import hamming
 from framerank.operators.cuts import cut
 from framerank.schema import HASH_DISTANCE, checked
 
-#: Bands narrower than so many bits hold too many hashes each; larger distances compare all distinct hashes.
-LEAST_BITS = 4
+#: Blocks beyond the distance at most, and the most choices of blocks that a hash is a row for.
+MORE_BLOCKS, MOST_KEYS = 5, 1000
+#: Larger distances than block choices can serve compare all distinct hashes, if there are no more than these.
+MOST_COMPARED = 50_000
+
+
+def blocks(distance: int, n: int) -> int | None:
+    """How many blocks make the fewest rows and candidates for ``n`` hashes; ``None`` if no number is fit."""
+
+    def cost(b: int) -> float:
+        keys, bits = math.comb(b, distance), 64 * (b - distance) / b
+        return keys * n + keys * n * n / 2 ** (bits + 1)
+
+    fit = [b for b in range(distance + 1, min(64, distance + MORE_BLOCKS) + 1) if math.comb(b, distance) <= MOST_KEYS and 64 // b >= 2]
+    best = min(fit, key=cost, default=None)
+    return best if best is not None and cost(best) < n * n / 2 + 64 * n else None
+
+
+def _masks(b: int) -> list[int]:
+    """The bits of each block, as signed 64-bit numbers."""
+    bounds = [64 * i // b for i in range(b + 1)]
+    return [_signed((1 << high) - (1 << low)) for low, high in itertools.pairwise(bounds)]
 
 
-def band(hash: Column, i: int, bands: int) -> Column:
-    """The bits of one of ``bands`` nearly equal parts of a hash."""
-    low, high = 64 * i // bands, 64 * (i + 1) // bands
-    if high - low == 64:
-        return hash
-    return F.shiftrightunsigned(hash, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 def distinct_pairs(hashes: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
     """``a, b, distance`` with ``a < b`` over distinct values of ``phash``."""
     checked(distance=distance)
-    one = cut(hashes.select("phash").where("phash is not null").distinct())  # both sides of the join read it
-    bands = distance + 1
-    if 64 // bands < LEAST_BITS:
+    one = cut(hashes.select("phash").where("phash is not null").distinct(), "hashes")  # both sides of the join read it
+    n = one.count()
+    b = blocks(distance, n)
+    if b is None:
+        if n > MOST_COMPARED:
+            raise ValueError(f"{n} hashes can't all be compared at distance {distance}; up to {MOST_COMPARED} can")
         both = one.withColumnRenamed("phash", "a").join(one.withColumnRenamed("phash", "b"), F.col("a") < F.col("b"))
         return both.withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
-    keyed = one.select("phash", F.posexplode(F.array(*[band(F.col("phash"), i, bands) for i in range(bands)])).alias("band", "value"))
-    left, right = keyed.withColumnRenamed("phash", "a"), keyed.withColumnRenamed("phash", "b")
-    both = left.join(right, ["band", "value"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
-    # A pair that agrees on several bands is kept where it does first.
-    earlier = F.lit(False)
-    for i in range(bands - 1):
-        earlier = earlier | ((F.col("band") > i) & (band(F.col("a"), i, bands) == band(F.col("b"), i, bands)))
-    return both.where(~earlier).select("a", "b", "distance")
+    masks, k = _masks(b), b - distance
+    keys = [F.struct(F.lit(i).alias("choice"), F.lit(c[-1]).alias("last"), F.col("phash").bitwiseAND(F.lit(_signed(sum(masks[x] for x in c) & (1 << 64) - 1)).cast("long")).alias("value")) for i, c in enumerate(itertools.combinations(range(b), k))]
+    keyed = one.select("phash", F.explode(F.array(*keys)).alias("key")).select("phash", "key.*")
+    left, right = keyed.withColumnRenamed("phash", "a"), keyed.drop("last").withColumnRenamed("phash", "b")
+    both = left.join(right, ["choice", "value"]).where("a < b").withColumn("distance", hamming(F.col("a"), F.col("b"))).where(F.col("distance") <= distance)
+    # A pair that agrees on more blocks is kept for its first choice: no other agreeing block stands before the last.
+    unlike = F.col("a").bitwiseXOR(F.col("b"))
+    agreed = sum(((unlike.bitwiseAND(F.lit(m).cast("long")) == 0) & (F.col("last") >= i)).cast("int") for i, m in enumerate(masks))
+    return both.where(agreed == k).select("a", "b", "distance")
 
 
 def hamming_pairs(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:

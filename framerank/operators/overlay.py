@@ -53,14 +53,20 @@ def toggle(selection: DataFrame, clicked: DataFrame) -> DataFrame:
     return a.join(b, "path", "left_anti").unionByName(b.join(a, "path", "left_anti"))
 
 
-def select_range(visible: DataFrame, order: list[Column], anchor: str, target: str) -> DataFrame:
-    """The rows from anchor to target in the visible order; none if either isn't visible.
+def select_range(visible: DataFrame, order: list[Column], anchor: str | None, target: str, selection: DataFrame | None = None) -> DataFrame:
+    """The rows from anchor to target in the visible order; with a ``selection`` they are added to it.
 
-    Only the two ends' sort keys are looked up, so nothing is numbered.
+    Where either end isn't visible, the click counts as one without the range: it selects the target alone, or toggles it in the
+    selection. Only the two ends' sort keys are looked up, so nothing is numbered.
     """
     keyed = visible.select("path", F.struct(*order).alias("__k"))
-    ends = keyed.where(F.col("path").isin(anchor, target)).agg(F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.countDistinct("path").alias("n"))
-    return keyed.join(F.broadcast(ends)).where((F.col("__k") >= F.col("lo")) & (F.col("__k") <= F.col("hi")) & (F.col("n") == len({anchor, target}))).select("path")  # one row is broadcast
+    ends = keyed.where(F.col("path").isin([p for p in (anchor, target) if p is not None])).agg(F.min("__k").alias("lo"), F.max("__k").alias("hi"), F.countDistinct("path").alias("n")).first()
+    if anchor is None or ends["n"] < len({anchor, target}):
+        clicked = visible.sparkSession.createDataFrame([(target,)], "path string")
+        return clicked if selection is None else toggle(selection, clicked)
+    low, high = (F.struct(*[F.lit(v) for v in ends[k]]) for k in ("lo", "hi"))
+    between = keyed.where((F.col("__k") >= low) & (F.col("__k") <= high)).select("path")
+    return between if selection is None else between.unionByName(selection.select("path")).distinct()
 
 
 def latest_per_key(events: DataFrame, key: str, order: list[Column]) -> DataFrame:

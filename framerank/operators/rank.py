@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import is_disqualified, normalize_sharpness, overall_score
+from framerank.operators.cuts import cut
 from framerank.operators.dedupe import best_of_group, labelled
 from framerank.schema import REJECT_THRESHOLD, HASH_DISTANCE, TOP_N, WEIGHTS, checked
 
@@ -28,6 +29,20 @@ def keepers(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, distance: i
     return best_of_group(labelled(with_overall(survivors(catalog, threshold), weights), distance))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``, the place from 1 of each row in an order of all rows.
+
+    Ranges of the order are tasks; a row's place is its place in its range after the counts of the ranges before, so no
+    task sees all rows.
+    """
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = cut(ranges.withColumn("__range", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__range", before.alias("__before"))
+    return ranges.join(F.broadcast(counts), "__range").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__range", "__at", "__before")
+
+
 def top_n(rows: DataFrame, n: int = TOP_N) -> DataFrame:
     """The first ``n`` by ``overall``, ties by path, with their ``place``."""
     checked(top_n=n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import dhash
@@ -19,10 +19,14 @@ CATALOG_COLUMNS = """d.doc_id,
   CASE WHEN l.quality = 0 THEN true WHEN l.quality = 1 AND d.doc_id % 2 = 0 THEN false END AS manual_dq,
   CASE CAST(d.doc_id % 4 AS INT) WHEN 0 THEN 'Landscape' WHEN 1 THEN 'Portrait' WHEN 2 THEN 'Object' ELSE 'Animal' END AS mode"""
 
-_HASH = """CAST(list_sum(list_transform(range(0, 64), lambda i: CASE WHEN ascii(substr(text, CAST((i // 8) * 9 + i % 8 + 1 AS BIGINT), 1)) > ascii(substr(text, CAST((i // 8) * 9 + i % 8 + 2 AS BIGINT), 1))
-  THEN CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(i AS INT) END ELSE CAST(0 AS HUGEINT) END)) AS BIGINT)"""
+#: A text is shrunk to 8 rows of 9 cells: the code points of each of 72 equal spans, but for vowels and blanks.
+SKIPPED = "aeiou "
+_CELL = """length(translate(substr(coalesce(text, ''), CAST(({0}) * length(coalesce(text, '')) // 72 + 1 AS BIGINT), CAST((({0}) + 1) * length(coalesce(text, '')) // 72 - ({0}) * length(coalesce(text, '')) // 72 AS BIGINT)), 'aeiou ', ''))"""
+_HASH = """CAST((SELECT list_sum(list_transform(range(0, 64), lambda i: CASE WHEN c[(i // 8) * 9 + i % 8 + 1] > c[(i // 8) * 9 + i % 8 + 2]
+  THEN CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(i AS INT) END ELSE CAST(0 AS HUGEINT) END))) AS BIGINT)"""
 
-CATALOG = f"catalog AS (SELECT {CATALOG_COLUMNS}, {_HASH} AS phash FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+CATALOG = f"""cells AS (SELECT *, list_transform(range(0, 72), lambda k: {_CELL.format('k')}) AS c FROM documents),
+catalog AS (SELECT {CATALOG_COLUMNS}, {_HASH} AS phash FROM cells d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 
 OVERALL = """(CAST(CAST(0.25 AS FLOAT) AS DOUBLE) * (CASE WHEN score <= 0 THEN 0 ELSE 100 * score / (score + 100) END)
   + CAST(CAST(0.15 AS FLOAT) AS DOUBLE) * exposure + CAST(CAST(0.1 AS FLOAT) AS DOUBLE) * contrast + CAST(CAST(0.1 AS FLOAT) AS DOUBLE) * color
@@ -36,7 +40,10 @@ pixels AS (SELECT a.vec_id AS photo_id, CAST(a.i % 8 AS INT) AS x, CAST(floor(a.
   FROM q a JOIN q b ON b.vec_id = a.vec_id AND b.i = (a.i + 21) % 64 JOIN q c ON c.vec_id = a.vec_id AND c.i = (a.i + 42) % 64),
 gray AS (SELECT *, CAST(floor((2126 * r + 7152 * g + 722 * b) / 10000) AS INT) AS gray FROM pixels)"""
 
-FRAMES = "frames AS (SELECT CAST(i AS BIGINT) AS photo_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST((x * x * 7 + y * 13 + i * 31 + x * y) % 256 AS INT) AS gray FROM range(0, 8) a(i), range(0, 70) b(x), range(0, 50) c(y))"
+#: Gray frames of 22 by 19, one of each embedding: turned tiles of its values.
+WIDTH, HEIGHT = 22, 19
+FRAMES = f"""grays AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(least(greatest(floor((CAST(v AS DOUBLE) + 0.6) * 212.5), 0), 255) AS INT)) AS p FROM embeddings),
+frames AS (SELECT vec_id AS photo_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, p[(x % 8 + 8 * (y % 8) + 5 * (x // 8) + 11 * (y // 8)) % 64 + 1] AS gray FROM grays, range(0, {WIDTH}) b(x), range(0, {HEIGHT}) c(y))"""
 
 
 def lap(source: str) -> str:
@@ -58,16 +65,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that stands for a photo."""
-    text = F.col("text")
-    values = [F.ascii(F.substring(text, i + 1, 1)) for i in range(72)]
+    text = F.coalesce("text", F.lit(""))
+    at = [F.floor(F.length(text) * i / 72).cast("int") for i in range(73)]
+    values = [F.length(F.translate(F.substr(text, at[i] + 1, at[i + 1] - at[i]), SKIPPED, "")) for i in range(72)]
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", dhash(values).alias("phash"))
     return spark.sql(f"SELECT {CATALOG_COLUMNS}, phash FROM {{docs}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id", docs=docs, labels=table(spark, sf_dir, "labels"))
 
 
+def _levels() -> Column:
+    """An embedding's values as numbers from 0 to 255."""
+    return F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.6) * 212.5), F.lit(0)), F.lit(255)).cast("int"))
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 by 8 colour pixels of each embedding."""
-    p = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.6) * 212.5), F.lit(0)), F.lit(255)).cast("int"))
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id"), p.alias("p"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id"), _levels().alias("p"))
     rows = rows.select("photo_id", "p", F.posexplode("p").alias("i", "r"))
 
     def turned(by: int):
@@ -76,11 +88,13 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("photo_id", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "r", turned(21).alias("g"), turned(42).alias("b"))
 
 
-def frames(spark: SparkSession) -> DataFrame:
-    """Eight gray frames of 70 by 50."""
-    n = spark.range(8 * 70 * 50)
-    i, x, y = F.floor(F.col("id") / 3500), F.floor(F.col("id") / 50) % 70, F.col("id") % 50
-    return n.select(i.alias("photo_id"), x.cast("int").alias("x"), y.cast("int").alias("y"), ((x * x * 7 + y * 13 + i * 31 + x * y) % 256).cast("int").alias("gray"))
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gray frame of each embedding, larger than a tile."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("photo_id"), _levels().alias("p"))
+    rows = rows.select("photo_id", "p", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))).alias("i"))
+    rows = rows.select("photo_id", "p", (F.col("i") % WIDTH).cast("int").alias("x"), F.floor(F.col("i") / WIDTH).cast("int").alias("y"))
+    at = F.expr("(x % 8 + 8 * (y % 8) + 5 * (x div 8) + 11 * (y div 8)) % 64 + 1").cast("int")
+    return rows.select("photo_id", "x", "y", F.element_at("p", at).alias("gray"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

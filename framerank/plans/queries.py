@@ -14,6 +14,7 @@ from framerank.functions import pixels as px
 from framerank.functions import scores as sc
 from framerank.operators import boxes as bx
 from framerank.operators import dedupe, moves, overlay, rank
+from framerank.operators.cuts import cut
 from framerank.plans import bridges as br
 from framerank.plans.bridges import BOXES, CATALOG, FRAMES, OVERALL, PIXELS, SCAN_EVENTS, lap
 from framerank.schema import IMAGE_EXTENSIONS, METHOD_LABELS, MODES, RAW_EXTENSIONS
@@ -94,7 +95,7 @@ def scan_found_count(spark, sf):
 @register(f"WITH {CATALOG} SELECT path, row_number() OVER (ORDER BY path) AS place FROM catalog WHERE regexp_matches(path, '^/lib/en/src0/[^/]+$') AND ({_RAW} OR {_STD})")
 def list_folder_sorted(spark, sf):
     inside = br.catalog(spark, sf).where(F.col("path").rlike("^/lib/en/src0/[^/]+$") & sc.is_supported(F.col("path")))
-    return inside.select("path", F.row_number().over(Window.orderBy("path")).alias("place"))
+    return rank.numbered(inside.select("path"), [F.col("path")], "place")
 
 
 _TURNED = "CASE CAST(photo_id % 9 AS INT) {} END"
@@ -147,9 +148,9 @@ def _crop(source: str, fraction: str, w: int, h: int) -> str:
     return f"cropped AS (SELECT * FROM {source} WHERE {inside})"
 
 
-@register(f"WITH {FRAMES}, {_crop('frames', '0.45', 70, 50)}, {lap('cropped')} SELECT photo_id, count(*) AS n, round(var_pop(lap), 6) AS vol FROM lap GROUP BY photo_id")
+@register(f"WITH {FRAMES}, {_crop('frames', '0.45', br.WIDTH, br.HEIGHT)}, {lap('cropped')} SELECT photo_id, count(*) AS n, round(var_pop(lap), 6) AS vol FROM lap GROUP BY photo_id")
 def center_crop(spark, sf):
-    cropped = px.with_laplacian(px.center_crop(br.frames(spark), 0.45))
+    cropped = px.with_laplacian(px.center_crop(br.frames(spark, sf), 0.45))
     return cropped.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"), r6(px._variance_of("lap")).alias("vol"))
 
 
@@ -176,17 +177,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY v DESC, t
 
 @register(f"WITH {FRAMES}, {_TILES} SELECT photo_id, round(avg(v), 6) AS score FROM ranked WHERE rank <= greatest(ceil(n * CAST(0.05 AS DOUBLE)), 1) GROUP BY photo_id")
 def sharpest_region(spark, sf):
-    return px.sharpest_region(br.frames(spark)).select("photo_id", r6("score").alias("score"))
+    return px.sharpest_region(br.frames(spark, sf)).select("photo_id", r6("score").alias("score"))
 
 
 @register(
-    f"""WITH {FRAMES}, even AS (SELECT * FROM frames WHERE photo_id % 2 = 0), {_crop('even', '0.6', 70, 50)}, {lap('cropped')}, fixed AS (SELECT photo_id, var_pop(lap) AS score FROM lap GROUP BY photo_id),
+    f"""WITH {FRAMES}, even AS (SELECT * FROM frames WHERE photo_id % 2 = 0), {_crop('even', '0.6', br.WIDTH, br.HEIGHT)}, {lap('cropped')}, fixed AS (SELECT photo_id, var_pop(lap) AS score FROM lap GROUP BY photo_id),
 odd AS (SELECT * FROM frames WHERE photo_id % 2 = 1), {_TILES.replace('lap AS', 'lap2 AS').replace('FROM frames', 'FROM odd').replace('FROM lap ', 'FROM lap2 ')}
 SELECT photo_id, round(score, 6) AS score FROM fixed UNION ALL SELECT photo_id, round(avg(v), 6) FROM ranked WHERE rank <= greatest(ceil(n * CAST(0.05 AS DOUBLE)), 1) GROUP BY photo_id"""
 )
 def sharpness_score(spark, sf):
     """Even frames by the fixed region of an object, odd ones by the sharpest region."""
-    f = br.frames(spark)
+    f = br.frames(spark, sf)
     fixed = px.variance_of_laplacian(px.center_crop(f.where("photo_id % 2 = 0"), 0.6)).select("photo_id", r6("vol").alias("score"))
     return fixed.unionByName(px.sharpest_region(f.where("photo_id % 2 = 1")).select("photo_id", r6("score").alias("score")))
 
@@ -329,11 +330,11 @@ def classify_fixed(spark, sf):
 
 
 @register(
-    f"""WITH {FRAMES}, {lap('frames')}, f AS (SELECT photo_id, var_pop(lap) AS v FROM lap GROUP BY photo_id), {_crop('frames', '0.5', 70, 50)}, {lap('cropped').replace('lap AS (', 'lap2 AS (', 1)},
+    f"""WITH {FRAMES}, {lap('frames')}, f AS (SELECT photo_id, var_pop(lap) AS v FROM lap GROUP BY photo_id), {_crop('frames', '0.5', br.WIDTH, br.HEIGHT)}, {lap('cropped').replace('lap AS (', 'lap2 AS (', 1)},
 c AS (SELECT photo_id, var_pop(lap) AS v FROM lap2 GROUP BY photo_id) SELECT photo_id, CASE WHEN f.v <= 1 THEN 'Landscape' WHEN round(c.v / f.v, 9) > 1.6 THEN 'Object' ELSE 'Landscape' END AS mode FROM f JOIN c USING (photo_id)"""
 )
 def guess_mode(spark, sf):
-    f = br.frames(spark)
+    f = br.frames(spark, sf)
     both = px.variance_of_laplacian(f).join(px.variance_of_laplacian(px.center_crop(f, 0.5)).withColumnRenamed("vol", "center"), "photo_id")
     return both.select("photo_id", sc.guess_mode(F.col("vol"), F.col("center")).alias("mode"))
 
@@ -374,9 +375,9 @@ def _composition(source: str, w: int, h: int) -> str:
 comp AS (SELECT photo_id, round(CASE WHEN total <= 0 THEN 50 ELSE least(greatest(50 + 50 * (inside / total - {base}) / greatest(1 - {base}, 1e-6), 0), 100) END, 6) AS composition FROM e)"""
 
 
-@register(f"WITH {FRAMES}, {_composition('frames', 70, 50)} SELECT photo_id, composition FROM comp")
+@register(f"WITH {FRAMES}, {_composition('frames', br.WIDTH, br.HEIGHT)} SELECT photo_id, composition FROM comp")
 def composition_score(spark, sf):
-    return px.composition_score(br.frames(spark)).select("photo_id", r6("composition").alias("composition"))
+    return px.composition_score(br.frames(spark, sf)).select("photo_id", r6("composition").alias("composition"))
 
 
 _SUBJECT = """round(0.6 * least(greatest(100 * (CAST(greatest(x2 - x1, 0) AS DOUBLE) * CAST(greatest(y2 - y1, 0) AS DOUBLE) / 14400) / 0.15, 0), 100)
@@ -391,10 +392,8 @@ def subject_score(spark, sf):
 
 @register(f"WITH {PIXELS}, {_composition('gray', 8, 8)}, v AS (SELECT photo_id, var_pop(lap) AS v FROM lap GROUP BY photo_id), t AS ({_TONE}), k AS ({_COLOR}) SELECT photo_id, round(100 * v / (v + 100), 6) AS sharpness, exposure, contrast, color, composition FROM v JOIN t USING (photo_id) JOIN k USING (photo_id) JOIN comp USING (photo_id)")
 def factors(spark, sf):
-    p = px.with_gray(br.pixels(spark, sf))
-    v = px.variance_of_laplacian(p).select("photo_id", r6(sc.normalize_sharpness(F.col("vol"))).alias("sharpness"))
-    out = v.join(px.tone_scores(p), "photo_id").join(px.color_score(p), "photo_id").join(px.composition_score(p), "photo_id")
-    return out.select("photo_id", "sharpness", *[r6(c).alias(c) for c in ("exposure", "contrast", "color", "composition")])
+    out = px.factor_scores(px.with_gray(br.pixels(spark, sf)))
+    return out.select("photo_id", r6(sc.normalize_sharpness(F.col("vol"))).alias("sharpness"), *[r6(c).alias(c) for c in ("exposure", "contrast", "color", "composition")])
 
 
 @register(f"WITH {CATALOG} SELECT path, round({OVERALL}, 6) AS overall FROM catalog")
@@ -542,7 +541,7 @@ def dup_groups(spark, sf):
 @register(f"WITH RECURSIVE {CATALOG}, {_groups_sql('catalog')} SELECT group_id, size, row_number() OVER (ORDER BY size DESC, group_id) AS place FROM (SELECT DISTINCT group_id, size FROM sized WHERE size > 1)")
 def dup_groups_sized(spark, sf):
     one = dedupe.groups(br.catalog(spark, sf).select("path", "phash")).select("group_id", "size").distinct()
-    return one.withColumn("place", F.row_number().over(Window.orderBy(F.col("size").desc(), "group_id")))
+    return rank.numbered(one, [F.col("size").desc(), F.col("group_id")], "place")
 
 
 @register(f"WITH RECURSIVE {CATALOG}, {_groups_sql('catalog')} SELECT group_id, count(*) AS members FROM sized JOIN catalog USING (path) WHERE size > 1 AND doc_id % 3 <> 0 GROUP BY group_id HAVING count(*) >= 2")
@@ -589,10 +588,11 @@ def funnel_counts(spark, sf):
 def group_view(spark, sf):
     c = rank.with_overall(br.catalog(spark, sf))
     rows = dedupe.groups(c.select("path", "phash")).join(c.select("path", "overall"), "path")
-    one = rows.select("group_id", "size").distinct().withColumn("number", F.row_number().over(Window.orderBy(F.col("size").desc(), "group_id")).cast("long"))
-    rows = rows.join(one.select("group_id", "number"), "group_id")
+    rows = cut(rows, "grouped")
+    one = rank.numbered(rows.groupBy("group_id", "size").agg(F.max("overall").alias("most")), [F.col("size").desc(), F.col("group_id")], "number")
+    rows = rows.join(one.select("group_id", "number", "most"), "group_id")
     title = F.format_string("Group %d (%d photos)", F.col("number"), F.col("size"))
-    return rows.select("number", "path", title.alias("title"), (F.col("overall") == F.max("overall").over(Window.partitionBy("number"))).alias("best"))
+    return rows.select("number", "path", title.alias("title"), (F.col("overall") == F.col("most")).alias("best"))
 
 
 @register(f"WITH {CATALOG} SELECT min(score) AS low, max(score) AS high FROM catalog")
@@ -612,13 +612,13 @@ def group_totals(spark, sf):
 
 @register(f"WITH {CATALOG} SELECT path, score, row_number() OVER (ORDER BY score, path) AS place FROM catalog")
 def sort_sharpness(spark, sf):
-    return br.catalog(spark, sf).select("path", "score").orderBy("score", "path").withColumn("place", F.row_number().over(Window.orderBy("score", "path")))
+    return rank.numbered(br.catalog(spark, sf).select("path", "score"), [F.col("score"), F.col("path")], "place")
 
 
 @register(f"WITH {CATALOG} SELECT path, round(overall, 6) AS overall, row_number() OVER (ORDER BY overall DESC, path) AS place FROM (SELECT path, {OVERALL} AS overall FROM catalog)")
 def sort_overall(spark, sf):
-    rows = rank.with_overall(br.catalog(spark, sf))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("overall").desc(), "path"))).select("path", r6("overall").alias("overall"), "place")
+    rows = rank.numbered(rank.with_overall(br.catalog(spark, sf)).select("path", "overall"), [F.col("overall").desc(), F.col("path")], "place")
+    return rows.select("path", r6("overall").alias("overall"), "place")
 
 
 @register(f"WITH {CATALOG} SELECT path, round(overall, 6) AS overall, row_number() OVER (ORDER BY overall DESC, path) AS place FROM (SELECT path, {OVERALL} AS overall FROM catalog) ORDER BY place LIMIT 150")
@@ -635,7 +635,8 @@ def _paths(spark, sf):
 
 @register(f"WITH {CATALOG} SELECT path FROM catalog WHERE path = (SELECT path FROM catalog WHERE doc_id = 5)")
 def select_one(spark, sf):
-    return _paths(spark, sf).where("doc_id = 5").select("path").distinct()
+    p = _paths(spark, sf)
+    return overlay.select_one(p, p.where("doc_id = 5").first()["path"])
 
 
 @register(f"WITH {CATALOG}, a AS (SELECT path FROM catalog WHERE doc_id % 3 = 0), b AS (SELECT path FROM catalog WHERE doc_id % 2 = 0) (SELECT path FROM a EXCEPT SELECT path FROM b) UNION ALL (SELECT path FROM b EXCEPT SELECT path FROM a)")

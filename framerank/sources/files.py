@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framerank.functions.scores import is_supported
+from framerank.operators.cuts import cut
 from framerank.schema import REJECTS_FOLDER, SCAN_SCHEMA, SCORE_BOX, THUMB_BOX, checked
 
 
@@ -40,6 +41,17 @@ def listing(spark: SparkSession, roots: list[str], recursive: bool = True) -> Da
     return out.dropDuplicates(["path"]) if len(frames) > 1 else out
 
 
+#: Photos in an output batch at most: thumbnails and previews are large.
+BATCH = 4
+#: Photos that are read by a list of paths at most.
+MOST_PATHS = 100_000
+
+
+def _parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    for at in range(0, len(frame), BATCH):
+        yield frame.iloc[at : at + BATCH]
+
+
 def found_count(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("found"))
 
@@ -55,7 +67,7 @@ def scan(files: DataFrame, mode: str | None = None, method: str = "FixedRegion",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from framerank.sources.kernel import scan_one
 
-        for frame in batches:
+        for frame in (part for batch in batches for part in _parts(batch)):
             yield pd.DataFrame([scan_one(p, c, mode, method, SCORE_BOX, THUMB_BOX if with_thumbs else 0, models or {}) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=_names())
 
     return files.select("path", "content").mapInPandas(run, SCAN_SCHEMA)
@@ -71,20 +83,29 @@ def previews(files: DataFrame, box: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from framerank.sources.kernel import preview_one
 
-        for frame in batches:
+        for frame in (part for batch in batches for part in _parts(batch)):
             yield pd.DataFrame([preview_one(p, c, box) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=["path", "w", "h", "rgb", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, w int, h int, rgb binary, error string")
 
 
 def recompute(files: DataFrame, dirty: DataFrame, method: str = "FixedRegion", models: dict[str, str] | None = None) -> DataFrame:
-    """Scores again the photos of ``dirty`` (``path, mode``), each with its own mode; only they are decoded."""
+    """Scores again the photos of ``dirty`` (``path, mode``), each with its own mode; only they are decoded.
+
+    The listing without contents is joined first. Up to ``MOST_PATHS`` photos are then read by their paths alone; beyond that, all contents
+    are read and joined.
+    """
     checked(method=method)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from framerank.sources.kernel import scan_one
 
-        for frame in batches:
+        for frame in (part for batch in batches for part in _parts(batch)):
             yield pd.DataFrame([scan_one(p, c, m, method, SCORE_BOX, 0, models or {}) for p, c, m in zip(frame["path"], frame["content"], frame["mode"], strict=True)], columns=_names())
 
-    return files.join(dirty.select("path", "mode"), "path").select("path", "content", "mode").mapInPandas(run, SCAN_SCHEMA)
+    wanted = cut(files.select("path").join(dirty.select("path", "mode"), "path"), "wanted")
+    if (n := wanted.count()) <= MOST_PATHS:
+        names = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["path"]) for r in wanted.select("path").distinct().collect()]
+        found = files.sparkSession.read.format("binaryFile").load(names) if n else files.where("false")
+        files = found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    return files.join(wanted, "path").select("path", "content", "mode").mapInPandas(run, SCAN_SCHEMA)

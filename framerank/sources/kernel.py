@@ -36,31 +36,34 @@ def decode_png(data: bytes) -> np.ndarray:
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
     bpp = channels * depth // 8
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * bpp)
-    out = np.zeros((h, w * bpp), np.uint8)
-    above = np.zeros(w * bpp, np.int64)
-    for y in range(h):
-        how, row = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if how == 2:
-            row = (row + above) & 255
-        elif how == 1:
-            row = np.cumsum(row.reshape(w, bpp), axis=0).reshape(-1) & 255
-        elif how in (3, 4):
-            for i in range(w * bpp):
-                a, b, c = row[i - bpp] if i >= bpp else 0, above[i], above[i - bpp] if i >= bpp else 0
-                if how == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
-                    guess = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                row[i] = (row[i] + guess) & 255
-        out[y], above = row, row
+    out = _unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, bpp))
     px = out.reshape(h, w, channels, depth // 8)[..., 0]
     if kind == 3:
         return palette[px[..., 0]]
     return px[..., :3] if channels >= 3 else np.repeat(px[..., :1], 3, axis=2)
 
 
+def _unfiltered(how: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """PNG rows without their filters: row by row where none looks at two sides, else along diagonals, whose samples don't need each other."""
+    h, w, bpp = rows.shape
+    out = np.zeros((h + 1, w + 1, bpp), np.int16)  # with a row above and a column before
+    if not np.isin(how, (3, 4)).any():
+        for y in range(h):
+            row = rows[y].astype(np.int64)
+            row = np.cumsum(row, axis=0) if how[y] == 1 else row + out[y, 1:] if how[y] == 2 else row
+            out[y + 1, 1:] = row & 255
+        return out[1:, 1:].astype(np.uint8)
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x, kind = d - y, how[y, None]
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        to_left, to_above, to_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        nearest = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        guess = np.choose(np.broadcast_to(kind, left.shape), [np.zeros_like(left), left, above, (left + above) // 2, nearest])
+        out[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
     start, = struct.unpack("<I", data[10:14])
     w, h, _, bits, how = struct.unpack("<iiHHI", data[18:34])
@@ -81,14 +84,36 @@ def decode_other(data: bytes) -> tuple[np.ndarray, int]:
         return np.asarray(im.convert("RGB")), int(im.getexif().get(274, 1))
 
 
+def _jpeg_end(data: bytes, at: int) -> int:
+    """Where the JPEG stream that starts at ``at`` ends; -1 if it doesn't. Markers inside segments, as of a thumbnail in EXIF data, are passed over."""
+    at += 2
+    while at + 4 <= len(data) + 2 and data[at : at + 1] == b"\xff":
+        kind = data[at + 1]
+        if kind == 0xD9:
+            return at + 2
+        if kind == 0xFF:
+            at += 1
+        elif kind == 0xD8:  # the beginning of another stream
+            return -1
+        elif kind == 0x01 or 0xD0 <= kind <= 0xD7:
+            at += 2
+        else:
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+            if kind == 0xDA:  # coded data: up to a marker that is neither a stuffed byte nor a restart
+                while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data) and (data[at + 1] == 0 or 0xD0 <= data[at + 1] <= 0xD7):
+                    at += 2
+                if at < 0:
+                    return -1
+    return -1
+
+
 def embedded_jpegs(data: bytes) -> list[bytes]:
     """JPEG streams inside a RAW container, largest first: the full image, then the preview, then the thumbnail."""
     out, at = [], 0
     while (at := data.find(b"\xff\xd8\xff", at)) >= 0:
-        end = data.find(b"\xff\xd9", at)
-        if end < 0:
-            break
-        out.append(data[at : end + 2])
+        end = _jpeg_end(data, at)
+        if end > 0:
+            out.append(data[at:end])
         at += 3
     return sorted(out, key=len, reverse=True)
 
@@ -122,21 +147,30 @@ def orient(rgb: np.ndarray, tag: int) -> np.ndarray:
     return np.ascontiguousarray(np.rot90(rgb[:, ::-1] if mirror else rgb, quarter))
 
 
-def _weights(old: int, new: int) -> np.ndarray:
-    """Rows of triangle weights that bring ``old`` samples to ``new``."""
+def _taps(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per sample of ``new``, the few of ``old`` that a triangle reaches, and their weights."""
     ratio = old / new
     reach = max(ratio, 1.0)
     middle = (np.arange(new) + 0.5) * ratio
-    distance = np.abs(np.arange(old)[None, :] + 0.5 - middle[:, None]) / reach
-    w = np.maximum(1 - distance, 0)
-    return w / w.sum(1, keepdims=True)
+    at = np.floor(middle - reach).astype(int)[:, None] + np.arange(int(2 * reach) + 3)[None, :]
+    w = np.maximum(1 - np.abs(at + 0.5 - middle[:, None]) / reach, 0) * ((at >= 0) & (at < old))
+    return np.clip(at, 0, old - 1), w / w.sum(1, keepdims=True)
+
+
+def _resized(px: np.ndarray, new: int) -> np.ndarray:
+    """``px`` with ``new`` rows."""
+    at, w = _taps(px.shape[0], new)
+    out = np.zeros((new, *px.shape[1:]))
+    for k in range(at.shape[1]):
+        out += px[at[:, k]] * w[:, k, None, None]
+    return out
 
 
 def resize(rgb: np.ndarray, w: int, h: int) -> np.ndarray:
     if rgb.shape[:2] == (h, w):
         return rgb
-    tall = np.einsum("ij,jkc->ikc", _weights(rgb.shape[0], h), rgb.astype(float))
-    return np.clip(np.floor(np.einsum("ij,kjc->kic", _weights(rgb.shape[1], w), tall) + 0.5), 0, 255).astype(np.uint8)
+    tall = _resized(rgb, h)
+    return np.clip(np.floor(_resized(tall.transpose(1, 0, 2), w).transpose(1, 0, 2) + 0.5), 0, 255).astype(np.uint8)
 
 
 def fit(rgb: np.ndarray, box: int) -> np.ndarray:
@@ -248,9 +282,10 @@ def _session(path: str):
     return onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
 
 
-def _largest(scores: np.ndarray, boxes: np.ndarray, limit: tuple[float, float], share: float) -> dict | None:
+def _largest(scores: np.ndarray, boxes: np.ndarray, scale: list[float], limit: tuple[float, float], share: float) -> dict | None:
+    """The largest box that is left. Boxes are suppressed in the network's own units, then scaled to pixels."""
     keep = suppressed(scores, boxes)
-    clipped = [(float(scores[i]), np.clip(boxes[i], 0, [*limit, *limit])) for i in keep]
+    clipped = [(float(scores[i]), np.clip(boxes[i] * scale, 0, [*limit, *limit])) for i in keep]
     best = [(float((b[2] - b[0]) * (b[3] - b[1])), s, b) for s, b in clipped if (b[2] - b[0]) * (b[3] - b[1]) / (limit[0] * limit[1]) >= share]
     if not best:
         return None
@@ -300,7 +335,7 @@ def main_face(rgb: np.ndarray, model: str) -> dict | None:
     p, scores, d = p[keep], scores[keep], deltas[keep]
     middle, size = d[:, :2] * 0.1 * p[:, 2:] + p[:, :2], np.exp(d[:, 2:] * 0.2) * p[:, 2:]
     h, w = rgb.shape[:2]
-    return _largest(scores, np.concatenate([middle - size / 2, middle + size / 2], 1) * [w, h, w, h], (w, h), 0.001)
+    return _largest(scores, np.concatenate([middle - size / 2, middle + size / 2], 1), [w, h, w, h], (w, h), 0.001)
 
 
 def main_animal(rgb: np.ndarray, model: str) -> dict | None:
@@ -317,7 +352,7 @@ def main_animal(rgb: np.ndarray, model: str) -> dict | None:
     o, c, scores = out[keep], c[keep], scores[keep]
     middle, size = (o[:, :2] + c[:, :2]) * c[:, 2:], np.exp(o[:, 2:4]) * c[:, 2:]
     h, w = rgb.shape[:2]
-    return _largest(scores, np.concatenate([middle - size / 2, middle + size / 2], 1) / scale, (w, h), 0.003)
+    return _largest(scores, np.concatenate([middle - size / 2, middle + size / 2], 1), [1 / scale] * 4, (w, h), 0.003)
 
 
 def classify(rgb: np.ndarray, gray: np.ndarray, mode: str | None, models: dict[str, str]) -> tuple[str, dict | None]:

@@ -138,4 +138,37 @@ def test_overlays(spark):
     s = spark.createDataFrame([("a",), ("b",)], "path string")
     assert [r["path"] for r in overlay.toggle(s, s.where("path = 'a'")).collect()] == ["b"]
     assert sorted(r["path"] for r in overlay.select_range(c, [F.col("score"), F.col("path")], "b", "c").collect()) == ["b", "c"]
-    assert overlay.select_range(c, [F.col("path")], "b", "zz").count() == 0
+    paths = lambda df: sorted(r["path"] for r in df.collect())
+    # An end that isn't visible: the click counts alone, or toggles.
+    assert paths(overlay.select_range(c, [F.col("path")], "zz", "b")) == ["b"] == paths(overlay.select_range(c, [F.col("path")], None, "b"))
+    assert paths(overlay.select_range(c, [F.col("path")], "zz", "b", s)) == ["a"]
+    assert paths(overlay.select_range(c, [F.col("path")], "b", "c", s)) == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("b", [7, 8, 10])
+def test_choices_of_blocks_find_each_pair_once(spark, monkeypatch, b):
+    rng = random.Random(b)
+    hashes = {rng.getrandbits(64) - (1 << 63) for _ in range(40)}
+    for h in list(hashes):
+        for _ in range(4):
+            near = h + (1 << 63)
+            for bit in rng.sample(range(64), rng.randint(1, 9)):
+                near ^= 1 << bit
+            hashes.add(near - (1 << 63))
+    monkeypatch.setattr(dedupe, "blocks", lambda distance, n: b)
+    found = [(r["a"], r["b"], r["distance"]) for r in dedupe.distinct_pairs(spark.createDataFrame([(h,) for h in hashes], "phash long"), 6).collect()]
+    want = {(x, y, d) for x in hashes for y in hashes if x < y and (d := ((x ^ y) & (1 << 64) - 1).bit_count()) <= 6}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_more_hashes_take_more_blocks():
+    chosen = [dedupe.blocks(6, n) for n in (10, 10_000, 1_000_000, 100_000_000)]
+    assert chosen == sorted(chosen) and chosen[0] == 7 and chosen[-1] > 8
+    assert dedupe.blocks(40, 1000) is None and dedupe.blocks(0, 1000) == 1
+
+
+def test_places_over_ranges(spark):
+    rows = spark.range(1000).selectExpr("id % 37 AS k", "id").repartition(7)
+    got = [(r["k"], r["id"]) for r in sorted(rank.numbered(rows, [F.col("k").desc(), F.col("id")], "place").collect(), key=lambda r: r["place"])]
+    assert got == sorted(((i % 37, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
+    assert rank.numbered(rows.where("false"), [F.col("k")], "place").count() == 0

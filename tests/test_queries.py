@@ -41,4 +41,4 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() == 129
+    assert e.entry(spark).count() == 149

@@ -11,10 +11,18 @@ from framerank.sources import kernel as k
 from framerank.streaming import scan as st
 
 
-def png(rgb, kind=2):
+def png(rgb, kind=2, how=(0,)):
+    """A PNG whose rows use the filters ``how`` in turn."""
     h, w = rgb.shape[:2]
+    rows = rgb.astype(np.int64).reshape(h, w, -1)
+    left, above = np.pad(rows, ((0, 0), (1, 0), (0, 0)))[:, :-1], np.pad(rows, ((1, 0), (0, 0), (0, 0)))[:-1]
+    corner = np.pad(rows, ((1, 0), (1, 0), (0, 0)))[:-1, :-1]
+    guess = left + above - corner
+    far = [np.abs(guess - x) for x in (left, above, corner)]
+    paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], above, corner))
+    by = [rows * 0, left, above, (left + above) // 2, paeth]
     chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
-    raw = b"".join(b"\0" + rgb[y].astype(np.uint8).tobytes() for y in range(h))
+    raw = b"".join(bytes([how[y % len(how)]]) + ((rows[y] - by[how[y % len(how)]][y]) & 255).astype(np.uint8).tobytes() for y in range(h))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
@@ -55,7 +63,37 @@ def test_decoders_agree(folder):
     row = (30 * 3 + 3) // 4 * 4
     body = b"".join(im[y, :, ::-1].astype(np.uint8).tobytes().ljust(row, b"\0") for y in range(19, -1, -1))
     assert np.array_equal(k.decode_bmp(b"BM" + struct.pack("<IHHI", 0, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 30, 20, 1, 24, 0, 0, 0, 0, 0, 0) + body), im)
-    assert k.embedded_jpegs(b"xx\xff\xd8\xff12\xff\xd9yy\xff\xd8\xff12345\xff\xd9")[0] == b"\xff\xd8\xff12345\xff\xd9"
+
+
+@pytest.mark.parametrize("how", [(0,), (1,), (2,), (3,), (4,), (4, 0, 3, 2, 1, 4)])
+def test_png_filters(folder, how):
+    _, im = folder
+    smooth = np.add.outer(np.arange(20) * 3, np.arange(30) * 5)[..., None] + np.array([0, 9, 40])
+    for px in (im, smooth % 256):
+        assert np.array_equal(k.decode_png(png(px, how=how)), px)
+        assert np.array_equal(k.decode_png(png(np.dstack([px, px[..., :1]]), 6, how)), px)
+    assert np.array_equal(k.decode_png(png(im[..., 0], 0, how)), np.repeat(im[..., :1], 3, axis=2))
+
+
+def test_previews_in_containers():
+    segment = lambda kind, body: bytes([0xFF, kind]) + (len(body) + 2).to_bytes(2, "big") + body
+    stream = lambda body, coded: b"\xff\xd8" + body + segment(0xDA, b"\1\2\3") + coded + b"\xff\xd9"
+    thumb = stream(segment(0xE0, b"JFIF"), b"ab\xff\0c")
+    outer = stream(segment(0xE1, b"Exif" + thumb), b"x" * 400 + b"\xff\xd3" + b"y" * 90)
+    found = k.embedded_jpegs(b"II*\0" + thumb[:-1] + outer + b"tail")
+    assert found[0] == outer and thumb in found and k.embedded_jpegs(outer[:-3]) == [thumb]
+
+
+def test_resize_matches_full_weights():
+    rng = np.random.default_rng(4)
+    for h, w, nh, nw in ((20, 30, 8, 9), (7, 5, 15, 11), (40, 3, 1, 3), (16, 16, 16, 4), (1, 1, 3, 2)):
+        px = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        full = px.astype(float)
+        for axis, (old, new) in enumerate(((h, nh), (w, nw))):
+            middle, reach = (np.arange(new) + 0.5) * old / new, max(old / new, 1.0)
+            weights = np.maximum(1 - np.abs(np.arange(old)[None, :] + 0.5 - middle[:, None]) / reach, 0)
+            full = np.moveaxis(np.tensordot(weights / weights.sum(1, keepdims=True), full, (1, axis)), 0, axis)
+        assert np.abs(k.resize(px, nw, nh).astype(int) - np.clip(np.floor(full + 0.5), 0, 255)).max() <= 1
 
 
 def test_resize_keeps_flat_colours_and_fits():

@@ -216,7 +216,7 @@ def _scores(forest: Forest, stats: pa.Array) -> np.ndarray:
 
 
 def verdicts(described: DataFrame, forest: Forest | None) -> DataFrame:
-    """``doc_id``, the base counts, ``base_failed``, ``score`` and ``kept``."""
+    """``doc_id``, the base counts, ``base_failed``, ``kept`` and ``score``."""
     shared = described.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +227,7 @@ def verdicts(described: DataFrame, forest: Forest | None) -> DataFrame:
     out = described.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", score double")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     limit = forest.threshold if forest else float("inf")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") < F.lit(limit)))
+    return out.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("score") < F.lit(limit))).alias("kept"), "score")
 
 
 def judge(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:

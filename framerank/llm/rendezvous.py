@@ -34,12 +34,11 @@ def assign(df: DataFrame, keys: list[str], weights: list[float], added: list[flo
     return df.withColumn("shard", shard_of(cols, list(weights), seed)).withColumn("grown_shard", shard_of(cols, [*weights, *added], seed))
 
 
-def with_slots(df: DataFrame, keys: list[str], order: list[str], seed: int = 0) -> DataFrame:
+def with_slots(df: DataFrame, keys: list[str], order: list[str], shards: int, seed: int = 0) -> DataFrame:
     """Adds ``slot``, a gapless number from 0 within each ``shard``.
 
     The rows of a shard are dealt to about as many buckets as a bucket has rows, from one count of the table.
     """
-    shards = 16
     buckets = max(1, math.isqrt(df.count() // shards))
     dealt = df.withColumn("__bucket", F.floor(unit(F.lit(seed), F.lit("slot"), *[F.col(k) for k in keys]) * buckets).cast("int"))
     return ranked(dealt, ["shard"], "__bucket", [F.col(c) for c in order], "slot").drop("__bucket")
@@ -60,4 +59,4 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFra
         F.lit("key").alias("law"),
     )
     rows = assign(rows, ["doc_id"], [1.0] * shards, [1.0], seed)
-    return with_slots(rows, ["doc_id"], ["doc_id", "text_crc32", "size"], seed)
+    return with_slots(rows, ["doc_id"], ["doc_id", "text_crc32", "size"], shards, seed)

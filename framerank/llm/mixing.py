@@ -54,13 +54,14 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
     An even share ``floor(count * budget / total)`` of each length comes first. What is left to fill is brought below a
     small multiple of the largest length by taking one more here and there, longest first; the dynamic programme then
-    fills that, with up to one document given back of each of the shortest lengths, exactly or else as nearly from
-    below as those lengths allow.
+    fills that, with one document given back of each of the shortest lengths: of 64 lengths at first and of twice as many
+    as long as the budget isn't met, up to all of them. The nearest sum from below is taken.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     total = int((lengths * counts).sum())
     if budget >= total or not len(lengths):
         return counts.copy()
+    budget -= budget % int(np.gcd.reduce(lengths))  # no sum lies between
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order], counts[order]
     taken = np.array([int(c) * budget // total for c in counts], dtype=np.int64)
@@ -69,12 +70,14 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         if taken[i] < counts[i] and lengths[i] <= left:
             taken[i] += 1
             left -= int(lengths[i])
-    if left:
-        # Room to rearrange: give back a document of each of the shortest lengths that were taken.
-        for i in np.flatnonzero(taken)[::-1][:64]:
-            taken[i] -= 1
-            left += int(lengths[i])
-        taken += knapsack(lengths, counts - taken, left)
+    there, room, best = np.flatnonzero(taken)[::-1], 64, (left, taken)
+    while best[0] and room < 2 * max(64, len(there)):
+        trial = taken.copy()
+        trial[there[:room]] -= 1
+        trial += knapsack(lengths, counts - trial, left + int(lengths[there[:room]].sum()))
+        best = min(best, (budget - int((lengths * trial).sum()), trial), key=lambda x: x[0])
+        room *= 2
+    taken = best[1]
     back = np.empty_like(taken)
     back[order] = taken
     return back

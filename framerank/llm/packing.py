@@ -2,9 +2,9 @@
 
 Documents longer than a sequence are cut into whole pieces and a rest; everything after that works on how many
 pieces there are of each length. The lengths from the longest down open sequences. A sequence's gap is looked up
-among the single lengths, the sums of two and the sums of three lengths that are still available, and a combination
-that fills the gap exactly is consumed for as many sequences at once as its counts allow. What no combination
-completes is filled by best fit: the longest available length that fits, again and again.
+among the single lengths and in an index of the sums of two and, as a length and a pair, of three lengths. What is found fills the
+gap exactly and is consumed for as many sequences at once as its counts allow; as counts only fall, entries whose lengths are used
+up are passed over once. What no combination completes is filled by best fit: the longest available length that fits, again and again.
 
 The table of counts has at most ``capacity`` rows and each step uses up a length's count, so the plan's size depends
 on ``capacity`` alone, not on the number of documents: it is made on the driver and sent to all tasks. Pieces find
@@ -48,32 +48,45 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class _Sums:
-    """Sums of two available lengths, by the sum: which are there depends on counts that only fall."""
+class Sums:
+    """Index from a sum to the combinations of available lengths that make it, longest member first.
+
+    A sum's entries are made when it is first asked for. They stay in order, and each sum has a mark before which all are used up.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.counts = counts
+        self.pairs: dict[int, list] = {}  # sum: [mark, longer members]
+        self.triples: dict[int, list] = {}
 
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if self.counts[gap] > 0 else None
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        """The pair with the longest member; found as a length whose complement in the gap is there too."""
-        there = self.counts[: gap + 1] > 0
-        both = there & there[::-1]
-        if gap % 2 == 0 and self.counts[gap // 2] < 2:
-            both[gap // 2] = False
-        found = np.flatnonzero(both[: gap // 2 + 1])
-        return (gap - int(found[0]), int(found[0])) if len(found) else None
+    def pair(self, gap: int, but: int = 0) -> tuple[int, ...] | None:
+        """A pair that sums to ``gap``, with one ``but`` set aside."""
+        if (entry := self.pairs.get(gap)) is None:
+            there = self.counts[: gap + 1] > 0
+            longer = np.flatnonzero(there & there[::-1])[::-1]
+            entry = self.pairs[gap] = [0, longer[2 * longer >= gap].tolist()]
+        mark, longer = entry
+        for k in range(mark, len(longer)):
+            a, b = longer[k], gap - longer[k]
+            if self.counts[a] <= (a == b) or not self.counts[b]:  # not even without what is set aside
+                if k == entry[0]:
+                    entry[0] += 1
+            elif self.counts[a] - (a == but) > (a == b) and self.counts[b] - (b == but) > 0:
+                return a, b
+        return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
-        for a in np.flatnonzero(self.counts[: gap - 1] > 0)[::-1]:
-            a = int(a)
-            self.counts[a] -= 1
-            rest = self.pair(gap - a)
-            self.counts[a] += 1
-            if rest:
+        """A triple that sums to ``gap``: a length, and a pair for the rest."""
+        if (entry := self.triples.get(gap)) is None:
+            entry = self.triples[gap] = [0, np.flatnonzero(self.counts[: max(gap - 1, 0)] > 0)[::-1].tolist()]
+        for k in range(entry[0], len(entry[1])):
+            a = entry[1][k]
+            if self.counts[a] and (rest := self.pair(gap - a, a)):
                 return (a, *rest)
+            entry[0] = k + 1  # counts only fall, so what has no pair now won't get one
         return None
 
 
@@ -82,14 +95,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
-    sums, out = _Sums(left), []
+    sums, out = Sums(left), []
     if left[capacity]:
         out.append((int(left[capacity]), [(capacity, 1)]))
         left[capacity] = 0
     for longest in range(capacity - 1, 0, -1):
         while left[longest] > 0:
-            left[longest] -= 1  # one is set aside, so that complements don't use it
             gap = capacity - longest
+            left[longest] -= 1  # it opens the sequence; what complements may use of its length is the rest
             found = sums.single(gap) or sums.pair(gap) or (sums.triple(gap) if gap > 2 else None)
             left[longest] += 1
             items = [longest, *found] if found else _best_fit(left, longest, capacity)
@@ -105,7 +118,7 @@ def _best_fit(left: np.ndarray, longest: int, capacity: int) -> list[int]:
     """One sequence that starts with ``longest``: the longest length that fits, or a combination that then fills it."""
     trial, items, gap = left.copy(), [longest], capacity - longest
     trial[longest] -= 1
-    sums = _Sums(trial)
+    sums = Sums(trial)
     while gap > 0:
         if len(items) > 1 and (exact := sums.single(gap) or sums.pair(gap)):
             return items + list(exact)

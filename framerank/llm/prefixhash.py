@@ -33,6 +33,9 @@ from pyspark.sql import functions as F
 #: Two primes and a base for each.
 PRIMES = ((2_147_483_647, 1_000_003_919), (2_147_483_629, 789_190_703))
 
+#: Code points of a bucket of documents, about, and the most buckets; beyond, buckets are larger.
+BUCKET_CHARS, MOST_BUCKETS = 4_000_000, 20_000
+
 #: Code points whose hash decides on a span's begin, and places on either side that it is compared with.
 GRAM, REACH = 8, 16
 
@@ -172,15 +175,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """``bucket, doc_id, text, guest``: buckets are ranges of ``doc_id``; each also has, as guests, the documents that the next one starts with.
+def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``bucket, doc_id, text, guest``, and the number of buckets: buckets are ranges of ``doc_id``; each also has, as guests, the documents that the next one starts with.
 
-    The bounds are quantiles of the ids (one number for each task's share of the table). Each text goes through the
-    shuffle once, and once more if it starts a bucket.
+    The bounds are quantiles of the ids, as many as the texts' length asks for. Each text goes through the
+    shuffle once, and once more if it starts a bucket. Rows without an id, or with the same one, are one bucket.
     """
-    spark = docs.sparkSession
-    count = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10_000)).first()[0]
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    count = int(min(MOST_BUCKETS, max(2, math.ceil(chars / BUCKET_CHARS))))
+    found = docs.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 10 * MOST_BUCKETS)).first()[0]
     bounds = np.unique(np.array(found or [], dtype=np.int64))
 
     @F.pandas_udf("int")
@@ -191,22 +194,22 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), bucket_of("doc_id").alias("bucket"))
     heads = {r["bucket"]: r["head"] for r in docs.select(bucket_of("doc_id").alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one row a bucket
     there = sorted(heads, reverse=True)
-    before = {b: there[i - 1] for i, b in enumerate(there)}  # of the first bucket, the last: its documents follow the last document
     if not heads:
-        return rows.withColumn("guest", F.lit(False)).limit(0)
-    table = F.create_map(*[x for b in there for x in (F.lit(b), F.struct(F.lit(heads[b]).cast("long").alias("head"), F.lit(before[b]).alias("before")))])
-    at = F.element_at(table, F.col("bucket"))
+        return rows.withColumn("guest", F.lit(False)).limit(0), 1
+    # Of each bucket its first document and the bucket before; the first one's documents follow the last document.
+    table = docs.sparkSession.createDataFrame([(b, heads[b], there[i - 1]) for i, b in enumerate(there)], "__b int, head long, before int")
+    placed = rows.join(F.broadcast(table), F.col("bucket") == F.col("__b"))  # at most MOST_BUCKETS rows are broadcast
     own = F.struct(F.col("bucket"), F.lit(False).alias("guest"))
-    visit = F.struct(at["before"].alias("bucket"), F.lit(True).alias("guest"))
+    visit = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("guest"))
     # One copy of a text, two places: the text isn't multiplied before the rows are dealt out.
-    spread = rows.withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(at["head"]), F.array(own, visit)).otherwise(F.array(own))))
-    return spread.select("to.bucket", "doc_id", "text", "to.guest")
+    spread = placed.withColumn("to", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(own, visit)).otherwise(F.array(own))))
+    return spread.select("to.bucket", "doc_id", "text", "to.guest"), len(bounds) + 2
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document of ``doc_id, text``: its length, its edited text's hash, both fingerprints, and the likeness to the edited text and the next document."""
-    dealt = in_order(docs)
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+    dealt, buckets = in_order(docs)
+    dealt = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def follow() -> Iterator[tuple]:

@@ -1,8 +1,11 @@
 import itertools
+import math
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from framerank.llm import mixing, rendezvous
@@ -27,6 +30,32 @@ def test_weights_set_the_shares(spark):
         rendezvous.shard_of([F.col("id")], [1.0, 0.0])
 
 
+def test_shards_match_a_plain_rendezvous(spark):
+    """Every shard's draw in plain Python; the least wins."""
+    weights, added, rows = [1.0, 2.0, 0.5, 4.0], [1.5], spark.range(-50, 2000, 3).withColumnRenamed("id", "doc_id")
+
+    def draw(key, shard, weight):
+        h = 42
+        for kind, x in (("<i", 7), ("<i", shard), ("<q", key)):
+            h = xxhash.xxh64_intdigest(struct.pack(kind, x), seed=h)
+        return -math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    for r in rendezvous.assign(rows, ["doc_id"], weights, added, seed=7).collect():
+        draws = [draw(r.doc_id, i, w) for i, w in enumerate(weights + added)]
+        assert (r.shard, r.grown_shard) == (draws.index(min(draws[:4])), draws.index(min(draws)))
+    wide = rendezvous.shard_documents(rows.withColumn("text", F.lit("x")), shards=3).toPandas()
+    assert set(wide["shard"]) == {0, 1, 2} and all(sorted(g["slot"]) == list(range(len(g))) for _, g in wide.groupby("shard"))
+
+
+def test_every_length_is_given_back_where_the_budget_needs_it():
+    lengths = np.array([2, *range(101, 301)])  # 201 lengths: the shortest 64 alone can't make up for a remainder of 1
+    counts = np.ones(201, dtype=np.int64)
+    for budget in (20_001, 20_003, 33_333, 3):
+        got = int((mixing.fill(lengths, counts, budget) * lengths).sum())
+        assert got == (budget if budget > 3 else 2)
+    assert (mixing.fill(np.array([4, 6, 10]), np.array([50, 50, 50]), 333) * np.array([4, 6, 10])).sum() == 332
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_filling_matches_brute_force(seed):
     rng = np.random.default_rng(seed)

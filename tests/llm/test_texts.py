@@ -276,6 +276,23 @@ def test_rule_counts_match_plain_python():
         assert forest.statistics(t.encode())[0] == want, repr(t)
 
 
+def test_scores_match_a_plain_walk():
+    rng = np.random.default_rng(16)
+    rows = rng.normal(size=(400, 4))
+    rows[:, 3] = 1.0  # never varies
+    trees = forest.Forest.fit(rows, seed=3, trees=12, sample=64, depth=6)
+    new = np.concatenate([rows[:40], rng.normal(size=(40, 4)) * 3, [[0, 0, 0, 1], [9, 9, 9, 9]]])
+    for row, score in zip(new, trees.score(new), strict=True):
+        total = 0.0
+        for t in range(12):
+            node = 0
+            while (f := trees.feature[t, node]) >= 0 and trees.low[t, node] <= row[f] <= trees.high[t, node]:
+                node = trees.left[t, node] + (trees.low[t, node] < trees.high[t, node] and row[f] >= trees.split[t, node])
+            total += trees.length[t, node]
+        assert score == pytest.approx(2 ** (-total / 12 / trees.norm))
+    assert trees.score(new)[-1] > trees.score(new)[:40].max()
+
+
 def test_forest_tells_labelled_rows_apart(spark, sample, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     kept = {r.doc_id: r.kept for r in forest.judge(sample, labels).collect()}

@@ -1,5 +1,6 @@
 """Chunked encoding, packing and ORC output against the tokenizers library applied to whole texts."""
 
+import itertools
 import random
 import zlib
 
@@ -48,6 +49,24 @@ def test_packing_holds_every_piece_once(docs, empty, word_bpe):
     assert packing.pack(empty, word_bpe).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_the_index_of_sums_finds_what_is_there(seed):
+    """While lengths are used up, a sum has an entry if and only if a look at all combinations finds one."""
+    rng = np.random.default_rng(seed)
+    counts = np.zeros(31, dtype=np.int64)
+    for x in rng.choice(np.arange(1, 30), 9, replace=False):
+        counts[x] = rng.integers(1, 4)
+    sums = packing.Sums(counts)
+    while counts.sum() > 2:
+        gap = int(rng.integers(3, 31))
+        for k, found in ((1, sums.single(gap)), (2, sums.pair(gap)), (3, sums.triple(gap))):
+            there = [c for c in itertools.combinations_with_replacement(np.flatnonzero(counts).tolist(), k) if sum(c) == gap and all(counts[x] >= c.count(x) for x in c)]
+            assert (tuple(sorted(found)) in there) if found else not there, (gap, k)
+        used = sums.triple(gap) or sums.pair(gap) or (int(rng.choice(np.flatnonzero(counts))),)
+        for x in used:
+            counts[x] -= 1
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_all_and_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)

@@ -29,6 +29,26 @@ def plan(catalog: DataFrame, flagged: Column, roots: list[str]) -> DataFrame:
     return catalog.where(flagged).select(F.col("path").alias("src"), reject_path(F.col("path"), roots).alias("dst")).where("dst is not null")
 
 
+def _move(src: str, dst: str) -> None:
+    """Moves a file unless the destination is taken. A link can't replace a file that appears meanwhile, as a rename would."""
+    os.makedirs(os.path.dirname(dst), exist_ok=True)
+    try:
+        os.link(src, dst)
+    except FileNotFoundError:
+        if not os.path.exists(dst):  # else it was moved by an earlier run
+            raise
+        return
+    except FileExistsError:
+        if not os.path.samefile(src, dst):  # else an earlier run was cut off in between
+            raise
+    except OSError:  # no links here
+        if os.path.exists(dst):
+            raise FileExistsError(f"{dst} exists") from None
+        os.rename(src, dst)
+        return
+    os.unlink(src)
+
+
 def execute(moves: DataFrame, really: bool = False) -> DataFrame:
     """``src, dst, error`` for each move of a plan. Without ``really`` nothing is touched. An existing destination is an error.
 
@@ -43,12 +63,7 @@ def execute(moves: DataFrame, really: bool = False) -> DataFrame:
             errors = []
             for src, dst in zip(frame["src"], frame["dst"], strict=True):
                 try:
-                    if os.path.exists(dst):
-                        if os.path.exists(src):
-                            raise FileExistsError(f"{dst} exists")
-                    else:
-                        os.makedirs(os.path.dirname(dst), exist_ok=True)
-                        os.rename(src, dst)
+                    _move(src, dst)
                     errors.append(None)
                 except OSError as e:
                     errors.append(str(e))
@@ -57,6 +72,11 @@ def execute(moves: DataFrame, really: bool = False) -> DataFrame:
     return moves.mapInPandas(run, "src string, dst string, error string")
 
 
+def failures(moved: DataFrame) -> DataFrame:
+    """``path, error`` of moves that failed, to be added to the errors of the scan."""
+    return moved.where("error is not null").select(F.col("src").alias("path"), "error")
+
+
 def apply(catalog: DataFrame, moved: DataFrame) -> DataFrame:
     """The catalog without what was moved."""
     gone = moved.where("error is null").select(F.col("src").alias("path"))

@@ -109,3 +109,15 @@ def recompute(files: DataFrame, dirty: DataFrame, method: str = "FixedRegion", m
         found = files.sparkSession.read.format("binaryFile").load(names) if n else files.where("false")
         files = found.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
     return files.join(wanted, "path").select("path", "content", "mode").mapInPandas(run, SCAN_SCHEMA)
+
+
+def report(files: DataFrame, models: dict[str, str] | None = None) -> DataFrame:
+    """``path, line``: how each photo fares by both sharpness methods, and how long that took."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from framerank.sources.kernel import report_one
+
+        for frame in batches:
+            yield pd.DataFrame({"path": frame["path"], "line": [report_one(p, c, SCORE_BOX, models or {}) for p, c in zip(frame["path"], frame["content"], strict=True)]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, line string")

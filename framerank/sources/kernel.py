@@ -392,3 +392,24 @@ def preview_one(path: str, data: bytes, box: int) -> tuple:
     except Exception as e:
         return path, None, None, None, str(e) or type(e).__name__
     return path, rgb.shape[1], rgb.shape[0], rgb.tobytes(), None
+
+
+def report_one(path: str, data: bytes, box: int, models: dict[str, str]) -> str:
+    """One line: size, mode, both sharpness methods, factors, overall and the time it took; or the error."""
+    import time
+
+    from framerank.schema import WEIGHTS
+
+    start, name = time.perf_counter(), path.rsplit("/", 1)[-1]
+    try:
+        rgb = decode(path, data, box)
+    except Exception as e:
+        return f"{name}: ERR {e or type(e).__name__}"
+    gray = luma(rgb)
+    mode, subject = classify(rgb, gray, None, models)
+    raw, tiles = score(gray, mode, subject, "FixedRegion"), score(gray, mode, subject, "SharpestRegion")
+    f = factors(rgb, gray, raw, subject)
+    parts = {k: w for k, w in WEIGHTS.items() if f[k] is not None}
+    overall = sum(f[k] * w for k, w in parts.items()) / sum(parts.values())
+    shown = " ".join(f"{k}={'-' if f[k] is None else format(f[k], '.0f')}" for k in WEIGHTS)
+    return f"{name}: OK {rgb.shape[1]}x{rgb.shape[0]} mode={mode} subject={str(subject is not None).lower()} score={raw:.0f} sharpest_region={tiles:.0f} {shown} overall={overall:.0f} ({(time.perf_counter() - start) * 1000:.0f}ms)"

@@ -6,6 +6,9 @@ import zlib
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from framerank.session import Session
 from framerank.sources import files as fs
 from framerank.sources import kernel as k
 from framerank.streaming import scan as st
@@ -57,6 +60,31 @@ def test_scan_keeps_failures_apart(spark, folder):
     assert fs.previews(fs.listing(spark, [str(root / "sub")]), 60).first()["w"] == 60
 
 
+def test_report_has_both_methods(spark, folder):
+    root, _ = folder
+    lines = {r["path"].rsplit("/", 1)[-1]: r["line"] for r in fs.report(fs.listing(spark, [str(root)])).collect()}
+    assert lines["bad.jpg"].startswith("bad.jpg: ERR ") and lines["a b.png"].startswith("a b.png: OK 1600x1067 mode=") and "sharpest_region=" in lines["a b.png"] and lines["a b.png"].endswith("ms)")
+
+
+def test_session_from_scan_to_move(spark, folder):
+    root, _ = folder
+    s = Session(spark, [str(root)], threshold=0.0)
+    assert s.scan().count() == 5 and s.errors.count() == 1 and s.rank().count() >= 1
+    one = s.catalog.where("path like '%c.PNG'").select("path")
+    s.mark(one, True)
+    s.override_modes(one.withColumn("mode", F.lit("Portrait")))
+    assert s.flagged().count() == 1
+    with pytest.raises(ValueError):
+        s.move()
+    s.recompute()
+    assert s.catalog.where("dirty").count() == 0 and s.catalog.where("mode = 'Portrait' and mode_scored = 'Portrait'").count() == 1
+    assert s.move().first()["failed"] == 1 and (root / "c.PNG").exists()  # a dry run
+    done = s.move(really=True).first()
+    assert done["moved"] == 1 and (root / "disqualified" / "c.PNG").exists() and not (root / "c.PNG").exists() and s.catalog.count() == 4
+    first = s.scan_id
+    assert s.scan().where("manual_dq is not null or dirty").count() == 0 and s.catalog.count() == 4 and s.scan_id != first
+
+
 def test_decoders_agree(folder):
     _, im = folder
     assert np.array_equal(k.decode_png(png(im)), im)

@@ -132,7 +132,7 @@ class Forest:
         rng = np.random.default_rng(seed)
         per_tree = 2 ** (depth + 1) - 1
         shape = (trees, per_tree)
-        out = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(shape, dtype=int), np.zeros(shape), _mean_path(min(sample, len(rows))))
+        out = Forest(np.full(shape, -1), np.zeros(shape), np.zeros(shape), np.zeros(shape), np.zeros(shape, dtype=int), np.zeros(shape), _mean_path(min(sample, len(rows))) or 1.0)  # a single row has no mean path
         for t in range(trees):
             part = rows[rng.choice(len(rows), min(sample, len(rows)), replace=False)]
             stack, free = [(0, part, 0)], 1

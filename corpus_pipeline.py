@@ -40,7 +40,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("pii", pii), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
-#: Isolation forests, sketches and tokenizers have no SQL form; the pipeline is tested against a plain Python version.
+#: Isolation forests, sketches and tokenizers have no SQL form. The stages are tested together for what each must do to its input, and
+#: their operators one by one against plain Python.
 ORACLE_SQL = None
 
 

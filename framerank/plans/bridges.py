@@ -19,9 +19,10 @@ CATALOG_COLUMNS = """d.doc_id,
   CASE WHEN l.quality = 0 THEN true WHEN l.quality = 1 AND d.doc_id % 2 = 0 THEN false END AS manual_dq,
   CASE CAST(d.doc_id % 4 AS INT) WHEN 0 THEN 'Landscape' WHEN 1 THEN 'Portrait' WHEN 2 THEN 'Object' ELSE 'Animal' END AS mode"""
 
-#: A text is shrunk to 8 rows of 9 cells: the code points of each of 72 equal spans, but for vowels and blanks.
+#: A text is shrunk to 8 rows of 9 cells: the code points of each of 72 spans of equal length (the last ones may be short), but for vowels and blanks.
 SKIPPED = "aeiou "
-_CELL = """length(translate(substr(coalesce(text, ''), CAST(({0}) * length(coalesce(text, '')) // 72 + 1 AS BIGINT), CAST((({0}) + 1) * length(coalesce(text, '')) // 72 - ({0}) * length(coalesce(text, '')) // 72 AS BIGINT)), 'aeiou ', ''))"""
+_SPAN = "CAST((length(coalesce(text, '')) + 71) // 72 AS BIGINT)"
+_CELL = f"length(translate(substr(coalesce(text, ''), CAST({{0}} * {_SPAN} + 1 AS BIGINT), {_SPAN}), 'aeiou ', ''))"
 _HASH = """CAST((SELECT list_sum(list_transform(range(0, 64), lambda i: CASE WHEN c[(i // 8) * 9 + i % 8 + 1] > c[(i // 8) * 9 + i % 8 + 2]
   THEN CASE WHEN i = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(i AS INT) END ELSE CAST(0 AS HUGEINT) END))) AS BIGINT)"""
 
@@ -66,9 +67,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document that stands for a photo."""
     text = F.coalesce("text", F.lit(""))
-    at = [F.floor(F.length(text) * i / 72).cast("int") for i in range(73)]
-    values = [F.length(F.translate(F.substr(text, at[i] + 1, at[i + 1] - at[i]), SKIPPED, "")) for i in range(72)]
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", dhash(values).alias("phash"))
+    span = F.format_string("(?s).{1,%d}", F.greatest(F.floor((F.length(text) + 71) / 72), F.lit(1)))
+    cells = F.transform(F.regexp_extract_all(text, span, F.lit(0)), lambda part: F.length(F.translate(part, SKIPPED, "")))  # each text is read once
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", cells.alias("cells"))
+    docs = docs.select("doc_id", "lang", "source", "n_chars", dhash([F.coalesce(F.get("cells", F.lit(i)), F.lit(0)) for i in range(72)]).alias("phash"))
     return spark.sql(f"SELECT {CATALOG_COLUMNS}, phash FROM {{docs}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id", docs=docs, labels=table(spark, sf_dir, "labels"))
 
 

@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from framerank.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
+#: Documents of a batch that are worked on at once.
+PART = 500
 REACH = 8
 SUPPORT = 3
 THRESHOLD = 0.95
@@ -141,13 +143,19 @@ def evidence(text: str, spans: list[Span]) -> list[tuple[str, int, str, int]]:
     return found
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """``doc_id, h`` (hash of the text), ``n_words``, ``base`` spans and ``near``, the evidence, of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
         clue = pa.struct([("value", pa.string()), ("at", pa.int64()), ("term", pa.string()), ("place", pa.int64())])
-        for batch in batches:
+        for batch in _parts(batches):
             base, near, n_words = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
@@ -182,7 +190,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[int] | None] = {}  # a term's places in this task; None once they are too many
-        for batch in batches:
+        for batch in _parts(batches):
             terms, places = [], []
             for text in batch.column("text"):
                 for t, _, _, place, most in occurrences(text.as_py() or "", shared.value):
@@ -248,7 +256,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             out: list[tuple] = []
             for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text")), strict=True):
                 out += [(doc_id, h, t, a, b) for t, a, b, _, _ in occurrences(text or "", shared.value)]
@@ -307,7 +315,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
         rows = docs.join(added, F.col("doc_id").eqNullSafe(F.col("__d")) & (key == F.col("__h")), "left").select(*docs.columns, F.col("terms").alias("__terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             terms_of = batch.column("__terms").to_pylist() if "__terms" in batch.schema.names else [None] * batch.num_rows
             texts = []
             for text, more in zip(batch.column("text"), terms_of, strict=True):

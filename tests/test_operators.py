@@ -1,5 +1,6 @@
 """Groups, boxes, overlays, moves and the funnel, against plain Python where there is something to compare."""
 
+import itertools
 import random
 
 import numpy as np
@@ -40,6 +41,23 @@ def test_groups_of_the_first_examples(spark, hashes, sizes):
     assert [r["size"] for r in dedupe.groups(df, 2).select("group_id", "size").distinct().collect()] == sizes
 
 
+def test_key_tables_are_not_broadcast(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(signed(rng.getrandbits(64)),) for _ in range(500)], "phash long")
+    plan = dedupe.distinct_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("distance", range(16))
+def test_keys_of_all_choices_fit_a_long(distance):
+    for n in (10, 10_000, 1_000_000, 100_000_000):
+        if b := dedupe.blocks(distance, n):
+            choices = list(itertools.combinations(range(b), b - distance))
+            bits = max(sum(64 * (i + 1) // b - 64 * i // b for i in c) for c in choices)
+            assert bits + (len(choices) - 1).bit_length() <= 64
+
+
 @pytest.mark.parametrize("distance", [0, 3, 6, 20])
 def test_groups_match_all_pairs(spark, distance):
     rng = random.Random(distance)

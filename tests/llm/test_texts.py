@@ -422,6 +422,30 @@ def test_groups_about_the_threshold(spark, quiet):
     assert [got[d] for d, _ in rows] == want
 
 
+def test_buckets_that_rounds_leave_are_compared_exactly(spark, monkeypatch):
+    """Rounds that find nothing at all lose no link: neither that of classes nor that of the rows kept."""
+    rng, rows = random.Random(3), []
+    for size in (30, 12, 2):
+        base = [f"w{rng.randrange(4000)}" for _ in range(80)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(1, 6)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(4000)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(neardup, "LEAST_AGREED", neardup.BINS + 1)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "COLUMNS", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, want = plain_classes(rows, 2, 80)
+    got = {r.doc_id: r.component_id for r in neardup.classes(docs, 2).collect()}
+    assert [got[d] for d, _ in rows] == want
+    assert len(set(want)) < len(rows)
+    _, want = plain_classes(rows, 5, 80)
+    assert sorted(r.doc_id for r in neardup.keep_one(docs, 5).collect()) == sorted(set(want))
+
+
 def test_pairs_at_the_threshold_share_a_bucket():
     """The sketch's recall, measured: of pairs at a similarity of 0.8 none is without a common bucket or below the bins that must agree."""
     rng = np.random.default_rng(12)

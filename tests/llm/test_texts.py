@@ -446,6 +446,26 @@ def test_buckets_that_rounds_leave_are_compared_exactly(spark, monkeypatch):
     assert sorted(r.doc_id for r in neardup.keep_one(docs, 5).collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("exact", [4096, 0])
+def test_small_clusters_have_one_round(spark, monkeypatch, exact):
+    """After the first round what it leaves is compared exactly; only clusters above ``EXACT`` nodes have more rounds, and links are the same."""
+    rng, rows, written = random.Random(8), [], []
+    for _ in range(8):
+        base = [f"w{rng.randrange(4000)}" for _ in range(80)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.randint(3, 7)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(4000)}"
+            rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    plain = neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name="cut": written.append(name) or plain(df, name))
+    monkeypatch.setattr(neardup, "EXACT", exact)
+    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert [got[d] for d, _ in rows] == plain_classes(rows, 2, 80)[1]
+    assert "rest" in written and (written.count("candidates") == 1) == bool(exact)
+
+
 def test_pairs_at_the_threshold_share_a_bucket():
     """The sketch's recall, measured: of pairs at a similarity of 0.8 none is without a common bucket or below the bins that must agree."""
     rng = np.random.default_rng(12)

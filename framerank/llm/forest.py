@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framerank.llm.common import cut
+from framerank.llm.common import cut, trimming
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -111,7 +111,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([part.column(0), *_stat_columns(part.column(1))], ["doc_id", *BASE, "stats"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SCHEMA}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimming(run), f"doc_id long, {SCHEMA}")
 
 
 @dataclass
@@ -256,4 +256,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, seed: int = 0) -> DataFrame:
                     kept &= _scores(shared.value, stats) < shared.value.threshold
                 yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimming(run), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framerank.llm.common import cut, ranked, unit
+from framerank.llm.common import cut, ranked, trimming, unit
 
 CAPACITY = 4096
 END_ID = 1
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = END_ID, capacity: int
                     ids.append(doc_id), piece.append(k), start.append(at // 4), length.append(len(part) // 4), crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimming(cut_up), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Sums:

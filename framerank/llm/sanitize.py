@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framerank.llm.common import cut
+from framerank.llm.common import cut, trimming
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of a batch that are worked on at once.
@@ -166,7 +166,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n_words, pa.int64()), pa.array(base, pa.list_(kind)), pa.array(near, pa.list_(clue))], ["doc_id", "h", "n_words", "base", "near"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, n_words long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, at: long, term: string, place: long>>")
+    return rows.mapInArrow(trimming(run), "doc_id long, h long, n_words long, base array<struct<start: int, kind: int, end: int>>, near array<struct<value: string, at: long, term: string, place: long>>")
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
@@ -202,7 +202,7 @@ def disclosing(docs: DataFrame, scanned: DataFrame, support: int = SUPPORT, thre
                         terms.append(t), places.append(place)
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(places, pa.int64())], ["term", "place"])
 
-    seen = docs.select("text").mapInArrow(run, "term string, place long").distinct()
+    seen = docs.select("text").mapInArrow(trimming(run), "term string, place long").distinct()
     n_t = seen.groupBy("term").agg(F.count("place").alias("n_t"), F.count_if(F.col("place").isNull()).alias("over"))
     return cut(limits.join(n_t, "term").where("over = 0 and n_t <= limit").select("term"), "terms")
 
@@ -263,7 +263,7 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "h", "term", "start", "end"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(run, "doc_id long, h long, term string, start int, end int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").mapInArrow(trimming(run), "doc_id long, h long, term string, start int, end int")
     spans = rows.join(terms, "term", "left_semi").select("doc_id", "h", F.struct("start", F.lit(len(KINDS)).alias("kind"), "end").alias("s"))
     return spans.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("s")).alias("terms"))
 
@@ -328,4 +328,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 out["n_chars"] = pa.array([len(t or "") for t in texts], out["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(trimming(run), docs.schema)

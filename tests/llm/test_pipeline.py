@@ -105,3 +105,14 @@ def test_registered(spark):
 
     names = e.queries()
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
+
+
+def test_trimming_passes_all_batches_and_gives_memory_back_once(monkeypatch):
+    import ctypes
+
+    from framerank.llm.common import trimming
+
+    given = []
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: type("Libc", (), {"malloc_trim": staticmethod(given.append)}))
+    assert list(trimming(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+    assert given == [0]

@@ -90,7 +90,8 @@ def hamming_pairs(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame
     links = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")).unionByName(same)
     a = photos.select(F.col("phash").alias("a"), F.col("path").alias("path_a"))
     b = photos.select(F.col("phash").alias("b"), F.col("path").alias("path_b"))
-    return links.join(a, "a").join(b, "b").where("path_a < path_b").select("path_a", "path_b", "distance")
+    # Half a million photos are a file small enough to be broadcast, and many times that in the driver.
+    return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("path_a < path_b").select("path_a", "path_b", "distance")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

@@ -190,3 +190,11 @@ def test_places_over_ranges(spark):
     got = [(r["k"], r["id"]) for r in sorted(rank.numbered(rows, [F.col("k").desc(), F.col("id")], "place").collect(), key=lambda r: r["place"])]
     assert got == sorted(((i % 37, i) for i in range(1000)), key=lambda r: (-r[0], r[1]))
     assert rank.numbered(rows.where("false"), [F.col("k")], "place").count() == 0
+
+
+def test_hamming_pairs_broadcast_no_photos(spark):
+    photos = spark.createDataFrame([(f"p{i}", i // 2) for i in range(20)], "path string, phash long")
+    pairs = dedupe.hamming_pairs(photos, 0)
+    assert sorted((r.path_a, r.path_b) for r in pairs.collect()) == sorted(tuple(sorted((f"p{i}", f"p{i + 1}"))) for i in range(0, 20, 2))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan

@@ -94,18 +94,23 @@ def hamming_pairs(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame
     return links.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where("path_a < path_b").select("path_a", "path_b", "distance")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100, merge: bool = False) -> DataFrame:
     """``node, root`` over ``a, b``: the smallest value that each node reaches.
 
     Each round takes the smallest label among neighbours and then the label's own label, so long chains shorten by half.
+    ``merge``: labels are never broadcast, however small Spark takes them for.
     """
+
+    def held(labels: DataFrame) -> DataFrame:
+        return labels.hint("merge") if merge else labels
+
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        near = both.join(held(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
+        hooked = labels.join(held(near), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = cut(hooked.join(up, "root").select("node", "old", F.least("root", "up").alias("root")), "labels")
+        jumped = cut(hooked.join(held(up), "root").select("node", "old", F.least("root", "up").alias("root")), "labels")
         if jumped.where("old <> root").isEmpty():
             return jumped.select("node", "root")
         labels = jumped.select("node", "root")
@@ -113,11 +118,14 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def labelled(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
-    """All photos with ``group_id``, the smallest path of their group; a photo without neighbours is a group of its own."""
-    roots = components(distinct_pairs(photos, distance)).withColumnsRenamed({"node": "__h"})
-    keyed = photos.join(roots, F.col("phash") == F.col("__h"), "left").withColumn("__root", F.coalesce("root", "phash")).drop("root", "__h")
+    """All photos with ``group_id``, the smallest path of their group; a photo without neighbours is a group of its own.
+
+    The photos are read several times, so they should be written ones. Nothing of a size that grows with them is broadcast.
+    """
+    roots = components(distinct_pairs(photos, distance), merge=True).withColumnsRenamed({"node": "__h"})
+    keyed = photos.join(roots.hint("merge"), F.col("phash") == F.col("__h"), "left").withColumn("__root", F.coalesce("root", "phash")).drop("root", "__h")
     first = keyed.groupBy("__root").agg(F.min("path").alias("__first"))
-    joined = keyed.join(first.withColumnRenamed("__root", "__r"), F.col("__root") == F.col("__r"), "left")
+    joined = keyed.join(first.withColumnRenamed("__root", "__r").hint("merge"), F.col("__root") == F.col("__r"), "left")
     return joined.withColumn("group_id", F.coalesce("__first", "path")).drop("__root", "__r", "__first")
 
 
@@ -126,7 +134,7 @@ def groups(photos: DataFrame, distance: int = HASH_DISTANCE) -> DataFrame:
     rows = labelled(cut(photos.select("path", "phash"), "photos"), distance).select("group_id", "path")  # hashes and groups read it
     rows = cut(rows, "groups")  # so do the sizes
     sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    return rows.join(sizes, "group_id").select("group_id", "path", "size")
+    return rows.join(sizes.hint("merge"), "group_id").select("group_id", "path", "size")
 
 
 def best_of_group(rows: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = F.transform(F.regexp_extract_all(text, span, F.lit(0)), lambda part: F.length(F.translate(part, SKIPPED, "")))  # each text is read once
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", cells.alias("cells"))
     docs = docs.select("doc_id", "lang", "source", "n_chars", dhash([F.coalesce(F.get("cells", F.lit(i)), F.lit(0)) for i in range(72)]).alias("phash"))
-    return spark.sql(f"SELECT {CATALOG_COLUMNS}, phash FROM {{docs}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id", docs=docs, labels=table(spark, sf_dir, "labels"))
+    return spark.sql(f"SELECT {CATALOG_COLUMNS}, phash FROM {{docs}} d LEFT JOIN {{labels}} l ON d.doc_id = l.doc_id", docs=docs, labels=table(spark, sf_dir, "labels").hint("merge"))  # as many labels as photos are too many to broadcast
 
 
 def _levels() -> Column:

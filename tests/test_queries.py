@@ -42,3 +42,22 @@ def test_entry_contract(spark, duck):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == len(duck.execute(ORACLES["rank_pipeline"]).df()) > 100
+
+
+@pytest.mark.parametrize("name", ["group_totals"])
+def test_groups_broadcast_nothing_that_grows(spark, monkeypatch, name):
+    from framerank.operators import dedupe, rank
+    from framerank.plans import queries
+
+    plans, write = [], dedupe.cut
+
+    def cut(df, what="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, what)
+
+    for module in (dedupe, rank, queries):
+        monkeypatch.setattr(module, "cut", cut)
+    plans.append(QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "HashJoin" in line]
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 5
+    assert all("__range" in line for line in joins), joins  # a count for each task is all that may be broadcast

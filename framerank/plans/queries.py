@@ -555,7 +555,7 @@ def groups_surviving(spark, sf):
 @register(f"WITH RECURSIVE {CATALOG}, {_groups_sql('catalog')} SELECT group_id, path, round(overall, 6) AS overall FROM (SELECT group_id, path, {OVERALL} AS overall FROM sized JOIN catalog USING (path) WHERE size > 1) QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY overall DESC, path) = 1")
 def best_of_group(spark, sf):
     c = rank.with_overall(br.catalog(spark, sf))
-    rows = dedupe.groups(c.select("path", "phash")).join(c.select("path", "overall"), "path")
+    rows = dedupe.groups(c.select("path", "phash")).join(c.select("path", "overall").hint("merge"), "path")
     return dedupe.best_of_group(rows).select("group_id", "path", r6("overall").alias("overall"))
 
 
@@ -587,10 +587,10 @@ def funnel_counts(spark, sf):
 @register(f"WITH RECURSIVE {CATALOG}, {_groups_sql('catalog')}, n AS (SELECT group_id, size, dense_rank() OVER (ORDER BY size DESC, group_id) AS number FROM (SELECT DISTINCT group_id, size FROM sized WHERE size > 1)) SELECT n.number, sized.path, concat('Group ', number, ' (', n.size, ' photos)') AS title, {OVERALL} = max({OVERALL}) OVER (PARTITION BY n.number) AS best FROM n JOIN sized USING (group_id) JOIN catalog USING (path)")
 def group_view(spark, sf):
     c = rank.with_overall(br.catalog(spark, sf))
-    rows = dedupe.groups(c.select("path", "phash")).join(c.select("path", "overall"), "path")
+    rows = dedupe.groups(c.select("path", "phash")).join(c.select("path", "overall").hint("merge"), "path")
     rows = cut(rows, "grouped")
     one = rank.numbered(rows.groupBy("group_id", "size").agg(F.max("overall").alias("most")), [F.col("size").desc(), F.col("group_id")], "number")
-    rows = rows.join(one.select("group_id", "number", "most"), "group_id")
+    rows = rows.join(one.select("group_id", "number", "most").hint("merge"), "group_id")
     title = F.format_string("Group %d (%d photos)", F.col("number"), F.col("size"))
     return rows.select("number", "path", title.alias("title"), (F.col("overall") == F.col("most")).alias("best"))
 

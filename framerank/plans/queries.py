@@ -548,7 +548,7 @@ def dup_groups_sized(spark, sf):
 def groups_surviving(spark, sf):
     """Groups as found, looked up in a catalog that has lost a third of its rows since."""
     c = br.catalog(spark, sf)
-    found = dedupe.groups(c.select("path", "phash")).join(c.where("doc_id % 3 <> 0").select("path"), "path")
+    found = dedupe.groups(c.select("path", "phash")).join(c.where("doc_id % 3 <> 0").select("path").hint("merge"), "path")
     return found.groupBy("group_id").agg(F.count(F.lit(1)).alias("members")).where("members >= 2")
 
 

@@ -566,7 +566,7 @@ _KEEP = f"{_SURV}, {_groups_sql('surv')}, keep AS (SELECT * FROM (SELECT s.group
 @register(f"WITH RECURSIVE {CATALOG}, {_KEEP} SELECT path FROM sized WHERE size = 1")
 def ungrouped(spark, sf):
     rows = rank.survivors(br.catalog(spark, sf)).select("path", "phash")
-    return rows.select("path").join(dedupe.groups(rows).select("path"), "path", "left_anti")
+    return rows.select("path").join(dedupe.groups(rows).select("path").hint("merge"), "path", "left_anti")
 
 
 @register(f"WITH RECURSIVE {CATALOG}, {_KEEP} SELECT path, round(overall, 6) AS overall FROM keep")

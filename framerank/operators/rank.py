@@ -26,7 +26,8 @@ def survivors(catalog: DataFrame, threshold: float = REJECT_THRESHOLD) -> DataFr
 
 def keepers(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, distance: int = HASH_DISTANCE, weights: dict[str, float] | None = None) -> DataFrame:
     """The best survivor of each group and the survivors without one. Groups are over survivors alone."""
-    return best_of_group(labelled(with_overall(survivors(catalog, threshold), weights), distance))
+    rows = cut(with_overall(survivors(catalog, threshold), weights), "survivors")  # hashes, groups and the result read them
+    return best_of_group(labelled(rows, distance))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -61,5 +61,6 @@ def funnel_counts(catalog: DataFrame, threshold: float = REJECT_THRESHOLD, dista
     dq = is_disqualified(F.col("score"), F.col("manual_dq"), threshold)
     first = catalog.agg(F.count(F.lit(1)).alias("total"), F.count_if(~dq).alias("after_technical"))
     # After the filter each group keeps one row, so the groups are counted, not ranked.
-    left = labelled(survivors(catalog, threshold).select("path", "phash"), distance).agg(F.countDistinct("group_id").alias("after_dedupe"))
+    rows = cut(survivors(catalog, threshold).select("path", "phash"), "survivors")  # hashes and groups read them
+    left = labelled(rows, distance).agg(F.countDistinct("group_id").alias("after_dedupe"))
     return first.join(left).withColumn("shortlist", F.least("after_dedupe", F.lit(n).cast("long")))

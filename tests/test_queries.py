@@ -44,7 +44,7 @@ def test_entry_contract(spark, duck):
     assert e.entry(spark).count() == len(duck.execute(ORACLES["rank_pipeline"]).df()) > 100
 
 
-@pytest.mark.parametrize("name", ["group_totals", "group_view", "groups_surviving", "keepers", "ungrouped"])
+@pytest.mark.parametrize("name", ["funnel_counts", "group_totals", "group_view", "groups_surviving", "keepers", "ungrouped"])
 def test_groups_broadcast_nothing_that_grows(spark, monkeypatch, name):
     from framerank.operators import dedupe, rank
     from framerank.plans import queries

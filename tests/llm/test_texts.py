@@ -466,6 +466,17 @@ def test_small_clusters_have_one_round(spark, monkeypatch, exact):
     assert "rest" in written and (written.count("candidates") == 1) == bool(exact)
 
 
+def test_clusters_take_one_link_for_a_node(spark, monkeypatch):
+    """A group whose nodes share forty buckets, each with a first node of its own, beside a pair."""
+    rows = [(b, i) for b in range(neardup.BANDS) for i in (b, *range(100, 400))] + [(99, 1000), (99, 1001)]
+    members = spark.createDataFrame([(b, i, i) for b, i in rows], "bucket long, id long, root long")
+    links, plain = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: links.append(edges.count()) or plain(edges))
+    got = {r.id: r.cluster for r in neardup._clusters(members).collect()}
+    assert got == {i: 1000 if i >= 1000 else 0 for _, i in rows}
+    assert links == [300 + neardup.BANDS - 1 + 1]
+
+
 def test_pairs_at_the_threshold_share_a_bucket():
     """The sketch's recall, measured: of pairs at a similarity of 0.8 none is without a common bucket or below the bins that must agree."""
     rng = np.random.default_rng(12)

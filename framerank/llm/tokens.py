@@ -3,7 +3,7 @@
 Encoding text by text spends most of its time on words that it has encoded before. A text is therefore cut where
 the tokenizer's own pre-tokenizer always cuts, and the ids of each distinct chunk are encoded once per Python worker
 and kept as packed 32-bit ids, so that a text's ids are one join of byte strings. The memory is
-bounded by two generations of ``GENERATION`` chunks.
+bounded by two generations of ``GENERATION`` chunks, and ``AFTER_BLANK`` times as many where chunks after a blank are told apart.
 
 Both vocabularies that are supported here are byte-level BPE, with or without white space in their pre-tokens:
 
@@ -24,6 +24,8 @@ from functools import lru_cache
 
 #: Chunks of each of the two generations that a worker keeps.
 GENERATION = 200_000
+#: Times as many of those that follow a blank, which are nearly all where they are told apart.
+AFTER_BLANK = 4
 #: Longer chunks are encoded each time.
 LONGEST = 48
 
@@ -52,16 +54,16 @@ def _byte_letters() -> dict[int, str]:
 class Known(dict):
     """Chunk to packed ids. What is full becomes the older generation, and the one before it goes; what is found there moves up."""
 
-    def __init__(self, make: Callable[[str], tuple[bytes, bool]]):
+    def __init__(self, make: Callable[[str], tuple[bytes, bool]], times: int = 1):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.times, self.older = make, times, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if (packed := self.older.get(chunk)) is None:
             packed, keep = self.make(chunk)
             if not keep or len(chunk) > LONGEST:
                 return packed
-        if len(self) >= GENERATION:
+        if len(self) >= self.times * GENERATION:
             self.older = dict(self)
             self.clear()
         self[chunk] = packed
@@ -82,7 +84,7 @@ class Chunks:
         self.blank = self.letters[32]
         self.words = self.tokenizer.model.tokenize
         self.bare = Known(lambda chunk: self._made(chunk, "", self.bare))
-        self.after_blank = Known(lambda chunk: self._made(chunk, " ", self.after_blank))
+        self.after_blank = Known(lambda chunk: self._made(chunk, " ", self.after_blank), AFTER_BLANK)
         self.odd = False  # whether white space stood beside white space in the text that is being encoded
         self.line_end = self._encoded("\n") if self.kept else b""
 

@@ -118,3 +118,12 @@ def test_files_are_pruned_and_hold_bloom_filters(spark, byte_bpe, monkeypatch):
     assert sum(sizes) == 20_000 and max(sizes) <= 9000
     firsts = [orctokens.read(spark, f).agg({"doc_id": "min"}).first()[0] for f in files]
     assert firsts == sorted(firsts)
+
+
+def test_words_after_a_blank_are_encoded_once():
+    chunks = tokens.Chunks(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    made, make = [], chunks.after_blank.make
+    chunks.after_blank.make = lambda chunk: made.append(chunk) or make(chunk)
+    text = "a " + " ".join(str(i) for i in range(500_000))
+    first = chunks.encode(text)
+    assert len(made) == 500_000 and chunks.encode(text) == first and len(made) == 500_000
